@@ -34,8 +34,8 @@ from .common import materialise
 
 #: Parts into which the ranks of one length are split.
 SALTS = 64
-#: What a sequence holds, where the small lengths end, and the number of groups.
-CAPACITY, SMALL, GROUPS = 1024, 96, 48
+#: What a sequence holds; where small lengths end, as shares of it (the plan with fewer sequences is used); the number of groups.
+CAPACITY, SMALL, GROUPS = 1024, (0.4, 0.5), 96
 MEMO = 1_000_000
 
 
@@ -178,9 +178,14 @@ def _fullest(sizes: list[int], left: list[int], capacity: int) -> tuple[int, ...
     return tuple(counts)
 
 
-def plan_packing(hist: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[dict]:
+def plan_packing(hist: dict[int, int], capacity: int = CAPACITY, small: tuple[float, ...] = SMALL, groups: int = GROUPS) -> list[dict]:
     """Dicts (length, from, to, sequence, offset): pieces of that length ranked [from, to) go, in this order,
     to sequences from ``sequence`` on, each at ``offset``.  ``hist``: counts by length, at most ``capacity`` of them."""
+    plans = [_plan(hist, capacity, int(share * capacity), groups) for share in small]
+    return min(plans, key=lambda plan: max((p["sequence"] + p["to"] - p["from"] for p in plan), default=0))
+
+
+def _plan(hist: dict[int, int], capacity: int, small: int, groups: int) -> list[dict]:
     used: dict[int, int] = {}
     plan: list[dict] = []
     top = 0

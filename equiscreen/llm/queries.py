@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, grouping_packing, ring_sharding
+from . import decontaminate, grouping_packing, mil_toxicity, pu_quality, ring_sharding
 from .common import table
 
 
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op4_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mil_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,5 +32,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ring_sharding, op5_grouping_packing, op8_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_ring_sharding, op4_mil_toxicity, op5_grouping_packing, op8_decontaminate)}
 SQL: dict[str, str] = {}
