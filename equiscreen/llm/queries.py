@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, grouping_packing, mil_toxicity, pu_quality, ring_sharding
+from . import decontaminate, grouping_packing, mil_toxicity, pu_quality, ring_sharding, suffix_dedup
 from .common import table
 
 
@@ -32,5 +32,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_ring_sharding, op4_mil_toxicity, op5_grouping_packing, op8_decontaminate)}
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_ring_sharding, op4_mil_toxicity, op5_grouping_packing, op8_decontaminate, op9_suffix_dedup)}
 SQL: dict[str, str] = {}
