@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, grouping_packing, mil_toxicity, pu_quality, ring_sharding, suffix_dedup
+from . import decontaminate, grouping_packing, jaccard_join, mil_toxicity, pu_quality, ring_sharding, suffix_dedup
 from .common import table
 
 
@@ -24,7 +24,7 @@ def op4_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    cut = grouping_packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    cut = grouping_packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return grouping_packing.pack(cut)
 
 
@@ -36,5 +36,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_ring_sharding, op4_mil_toxicity, op5_grouping_packing, op8_decontaminate, op9_suffix_dedup)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_ring_sharding, op4_mil_toxicity, op5_grouping_packing, op8_decontaminate, op9_suffix_dedup, op10_jaccard_join)}
 SQL: dict[str, str] = {}
