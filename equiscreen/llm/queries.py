@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, grouping_packing, jaccard_join, mil_toxicity, pu_quality, ring_sharding, suffix_dedup
+from . import decontaminate, grouping_packing, jaccard_join, mil_toxicity, pu_quality, ring_sharding, suffix_dedup, tiff_media, trie_tokens, xent_scoring
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff_media.report(table(spark, sf_dir, "documents"))
+
+
 def op4_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -28,6 +32,16 @@ def op5_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping_packing.pack(cut)
 
 
+def op6_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return trie_tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_xent_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xent_scoring.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,5 +54,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pu_quality, op2_ring_sharding, op4_mil_toxicity, op5_grouping_packing, op8_decontaminate, op9_suffix_dedup, op10_jaccard_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pu_quality, op2_ring_sharding, op3_tiff_media, op4_mil_toxicity, op5_grouping_packing, op6_trie_tokens, op7_xent_scoring,
+        op8_decontaminate, op9_suffix_dedup, op10_jaccard_join,
+    )
+}
 SQL: dict[str, str] = {}
