@@ -224,7 +224,7 @@ def shortened(c: Column, size: int = 120) -> Column:
 def parts(c: Column | str, separator: str = "|") -> Column:
     """split, trimmed, without empty parts."""
     split = F.split(text(c), "\\" + separator if separator in "|.^$*+?()[]{}\\" else separator)
-    return F.filter(F.transform(split, F.trim), lambda x: x != "")
+    return F.filter(F.transform(split, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def listed(*items: Column, separator: str = ";") -> Column:
