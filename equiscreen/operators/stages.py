@@ -92,7 +92,7 @@ def stage2_rules(p: Stage2Policy = STAGE2) -> list[Rule]:
 STAGE2_COLUMNS = {
     **dict.fromkeys(("revenue_ttm", "revenue_growth_1y", "revenue_growth_3y", "gross_margin", "operating_margin", "net_margin", "ebitda", "free_cash_flow", "fcf_margin", "total_debt", "cash", "net_debt",
                      "net_debt_to_ebitda", "debt_to_equity", "current_ratio", "interest_coverage", "shares_dilution_3y", "data_completeness_score"), "double"),
-    "financial_data_date": "string", "special_case": "boolean",
+    "financial_data_date": "string", "special_case": "boolean", "sector": "string", "industry": "string",
 }
 STAGE3_COLUMNS = dict.fromkeys(("pe_ratio", "forward_pe", "ev_ebitda", "price_sales", "fcf_yield", "price_change_6m", "price_change_12m", "relative_strength_6m", "drawdown_from_52w_high"), "double")
 
@@ -110,7 +110,7 @@ def stage2(df: DataFrame, policy: Stage2Policy = STAGE2) -> DataFrame:
 
 def stage3_blocks() -> dict[str, Column]:
     """K6: the nine block scores, 0 to 10, rounded."""
-    m = {c: X.real(c) for c in (*STAGE2_COLUMNS, *STAGE3_COLUMNS, "dollar_volume_90d") if c not in ("financial_data_date", "special_case")}
+    m = {c: X.real(c) for c in (*STAGE2_COLUMNS, *STAGE3_COLUMNS, "dollar_volume_90d") if {**STAGE2_COLUMNS, **STAGE3_COLUMNS}.get(c, "double") == "double"}
     up, down = X.scale10, X.inverse10
     mean = lambda *p: reduce(lambda a, b: a + b, p) / float(len(p))
     positive = lambda c, lo, hi: F.when(m[c] > 0, down(m[c], lo, hi))
