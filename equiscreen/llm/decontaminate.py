@@ -118,6 +118,18 @@ def _match(docs: DataFrame, items: list[tuple[str, str]], n: int, keep: list[str
     return docs.select(*{"text": 0} | dict.fromkeys(keep)).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [FOUND]))
 
 
+def _merged(spans: Column) -> Column:
+    """Overlapping or touching spans as one; ``spans`` is an array of arrays of them."""
+    empty = F.array().cast("array<struct<a:bigint,b:bigint>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))))
+        return F.when(F.size(acc) == 0, F.array(x)).when(last["b"] >= x["a"], grown).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(F.array_sort(F.flatten(spans)), empty, add)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], n: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The columns ``keep`` of every row of ``docs`` with __n_words, __spans (hit words [a, b)), __items.
 

@@ -29,6 +29,8 @@ from .common import id_crc, materialise
 MAX_LABELLED, MIN_DOCS, MIN_Z = 10_000, 6, 4.5
 #: The most features that get a weight, by that distance, and the lengths in bytes of beginnings that are features.
 MAX_FEATURES, PREFIXES = 4_000, (4, 5, 6, 7, 8)
+#: The bias of a model without labels.
+NEVER = -30.0
 #: A document, or a sentence when it is located, is toxic from this score on.
 THRESHOLD = 0.7
 SENTENCE = re.compile(rb"[^.!?\n]+(?:[.!?]+|\n|$)?")
@@ -43,7 +45,7 @@ def parts_of(word: bytes) -> list[bytes]:
 @dataclass
 class Model:
     weights: dict[bytes, float] = field(default_factory=dict)  # by feature
-    bias: float = -30.0
+    bias: float = NEVER
 
     def table(self) -> Weights:
         return Weights(self.weights)
@@ -71,7 +73,8 @@ def sentences(text: str | None) -> list[bytes]:
 
 def sentence_scores(found: list[bytes], weights: Weights, bias: float) -> np.ndarray:
     f = [bias + sum(map(weights.__getitem__, set(s.translate(WORD).split()))) for s in found]
-    return 1 / (1 + np.exp(-np.clip(np.array(f, float), -30, 30)))
+    f = np.array(f, float)
+    return np.where(f <= NEVER, 0.0, 1 / (1 + np.exp(-np.clip(f, -30, 30))))
 
 
 def noisy_or(p: np.ndarray) -> float:
