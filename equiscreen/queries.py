@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bindings as B
 from .functions import exprs as X
 from .functions.rules import reason_log
-from .operators import market, memo, reports, scoring, stages, universe, views
+from .operators import diagnostics, market, memo, reports, scoring, stages, universe, views
 from .plans import pipelines, policies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -803,3 +803,47 @@ def file_manifest(spark: SparkSession, d: str) -> DataFrame:
     from .sources.readers import file_manifest as manifest
 
     return manifest(spark, f"{d}/part.parquet").select("size", "sha256", "ticker")
+
+
+# ---------------------------------------------------------------- diagnostics
+
+
+@query(f"select k, case when {' or '.join(f'n like {chr(39)}%{w}%{chr(39)}' for w in diagnostics.HKEX_OTHER)} then 'NON_ORDINARY_OR_REVIEW_REQUIRED' when {' or '.join(f'n like {chr(39)}%{w}%{chr(39)}' for w in diagnostics.HKEX_EQUITY)} then 'EQUITY_CANDIDATE_DIAGNOSTIC_ONLY' else 'UNKNOWN_REVIEW_REQUIRED' end as diagnostic_class from (select k, lower(name) as n from ({B.NAMES}) a) b")
+def diagnostic_class(spark: SparkSession, d: str) -> DataFrame:
+    """C15."""
+    return B.frame(spark, d, B.NAMES).select("k", diagnostics.diagnostic_class([F.col("name")], diagnostics.HKEX_OTHER, diagnostics.HKEX_EQUITY).alias("diagnostic_class"))
+
+
+@query(f"select k, symbol, case when k % 2 = 0 then 'MEDIUM' else 'LOW' end as classification_confidence from (select *, row_number() over (partition by symbol order by k) as n from ({B.NAMES}) a where regexp_matches(symbol, '^[A-Z0-9][A-Z0-9.\\-]{{{{0,15}}}}$')) b where n = 1")
+def symbol_screen(spark: SparkSession, d: str) -> DataFrame:
+    """C32, P16."""
+    df = B.frame(spark, d, B.NAMES)
+    route = F.when(F.col("k") % 2 == 0, F.lit("listed_symbols")).otherwise(F.lit("symbols_traded"))
+    return diagnostics.symbol_screen(df, "symbol", "name", None, route, "k").select("k", "symbol", "classification_confidence")
+
+
+@query(f"select count(*) as rows, count(*) filter (trim(ticker) = '') as empty_tickers, count(distinct nullif(upper(trim(ticker)), '')) as unique_tickers, count(*) filter (trim(ticker) <> '') - count(distinct nullif(upper(trim(ticker)), '')) as duplicate_tickers, 6 as columns from ({B.CANDIDATES}) c")
+def table_profile(spark: SparkSession, d: str) -> DataFrame:
+    """A35, A37."""
+    return reports.table_profile(B.frame(spark, d, B.CANDIDATES), "ticker")
+
+
+@query(f"select (select count(distinct ticker) from ({B.CANDIDATES}) c) as keys, (select count(distinct ticker) from ({B.CANDIDATES}) c where ticker in (select ticker from ({B.BASELINE}) b)) as covered, (select count(distinct ticker) from ({B.CANDIDATES}) c where ticker in (select ticker from ({B.BASELINE}) b)) / (select count(distinct ticker) from ({B.CANDIDATES}) c) as coverage")
+def coverage_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """J19."""
+    return views.coverage_ratio(B.frame(spark, d, B.BASELINE), B.frame(spark, d, B.CANDIDATES), "ticker")
+
+
+@query(f"select stage1_status, count(*) filter (market_cap_bucket = '<100M') as \"<100M\", count(*) filter (market_cap_bucket = '1B-10B') as \"1B-10B\" from (select stage1_status, {case(('market_cap is null', chr(39) + 'missing' + chr(39)), ('market_cap < 1e8', chr(39) + '<100M' + chr(39)), ('market_cap < 1e9', chr(39) + 'x' + chr(39)), ('market_cap < 1e10', chr(39) + '1B-10B' + chr(39)), default=chr(39) + 'y' + chr(39))} as market_cap_bucket from {_S1} s) b group by 1")
+def status_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Wide counts."""
+    return reports.status_matrix(reports.bucketed(_stage1(spark, d)), "stage1_status", "market_cap_bucket", ["<100M", "1B-10B"])
+
+
+@query("select o_custkey, sum(case when o_orderstatus = 'F' then 1 else 0 end) as done, row_number() over (order by sum(o_totalprice * 0) + count(*) desc, o_custkey) as rank from orders group by o_custkey order by rank limit 100")
+def ranked_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks are taken after the limit, so no task sorts all rows."""
+    df = B.frame(spark, d, "select o_custkey, o_orderstatus from {orders}")
+    counts = df.groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("done"), F.count(F.lit(1)).alias("n"))
+    best = views.top(counts, 100, F.desc("n"), key="o_custkey")
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "o_custkey"))).drop("n")
