@@ -3,16 +3,16 @@
 Two sets of sizes s and t with similarity of 3/4 or more differ in at most H = (s + t) // 7 members.  Members
 are hashed into m segments, m by size band: of the m pairs of segments at most H differ, the others are equal.
 
-Level 0 indexes every non-empty segment.  A pair must then share more than u - H signatures, where u counts the
-segments of either set that are neither empty nor frequent (shared by more than ``FREQUENT`` sets).
-Frequent segments are skipped: that costs nothing while u > H.  Sets with u <= H, for which skipping would lose
-links, are allocated level 1: fewer segments, each indexed with its one-deletion neighbourhood, of which at
-most H / 2 can differ by more.  Sets that even then have too few infrequent segments are compared with all sets of
-their kind that share any of their segments, frequent ones too.
+Which segments are spent is a matter of cost.  Level 0 indexes every non-empty segment, u of them.  A similar set
+shares more than u - H, so the first H + 1 are enough, taken rarest first: segments that a set has to itself come
+before shared ones, and a set with more than H such segments has no partner and leaves.  Only sets whose first
+H + 1 reach segments that more than ``FREQUENT`` sets share are allocated level 1: fewer segments, each indexed with
+its one-deletion neighbourhood, of which at most H / 2 can differ by more.  Sets that even then reach frequent
+segments are compared with all of their kind that share one of them, copies and near copies being linked already.
 
 Groups of copies: equal sets are one class before anything is indexed.  Members of a segment are first linked to
 one of them, the one they share most with; once links are verified, only members of different
-components are compared, and only if they share enough signatures.  So no group is expanded into its pairs.
+components are compared.  So no group is expanded into its pairs.
 All links are verified on the words themselves.  Components are found by contraction, in tables.
 
 Scale: signatures travel as arrays, one row for each batch of documents and bucket of the signature space.
@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, maybe_broadcast
@@ -52,11 +52,31 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
+    """Small numbers for words, and each one's 64-bit hash at that place of ``table``."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self):
+        super().__init__()
+        self.table = np.zeros(1 << 16, np.uint64)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        n = self[word] = len(self)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros(n, np.uint64)])
+        self.table[n] = xxhash.xxh3_64_intdigest(word)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > self.LIMIT:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+        n = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.table[n]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -68,12 +88,12 @@ def shingle_hashes(words: list[bytes], hashes: WordHashes) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles."""
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = hashes.of(words)
     n = max(len(h) - WORDS + 1, 1)
     total = np.full(n, np.uint64(min(len(h), WORDS)))
     for i in range(min(WORDS, len(h))):
         total = total + h[i : i + n] * _TURN[i]
-    return np.unique(_mixed(total))
+    return _distinct(_mixed(total))
 
 
 def shingle_set(words: list[bytes]) -> frozenset:
@@ -125,25 +145,12 @@ def signatures(sh: np.ndarray, bits: int, level: int) -> tuple[np.ndarray, int]:
         out.append(_mixed(total[of] - m + which[of]))
         usable = int((count > 1).sum())
     low = np.uint64(31)
-    return np.unique((np.concatenate(out) & ~low) | np.uint64(bits)), usable
-
-
-def _classes(docs: DataFrame) -> DataFrame:
-    """did, th, cls, n for every row; cls is null without shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            sets = [shingle_hashes(words_of(t), hashes) for t in b.column("text").to_pylist()]
-            cols = [b.column("did"), b.column("th"), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["did", "th", "cls", "n"])
+    return _distinct((np.concatenate(out) & ~low) | np.uint64(bits)), usable
 
-    return docs.select("did", "th", "text").mapInArrow(run, "did long, th long, cls long, n long")
 
-
-def _index(docs: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+def _index(docs: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures that several classes share: (sig, k, pivot, cls) with k classes, the least of them the pivot;
-    and for each class and band: (cls, bits, n, h, usable)."""
+    for each class and band: (cls, bits, n, h, usable); and for each row: (did, th, n, cls), cls null without shingles."""
     spark = docs.sparkSession
     buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -151,20 +158,26 @@ def _index(docs: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         hashes, met = WordHashes(), set()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                sigs, owners, info = [], [], []
-                for t in whole.column("text").slice(at, 2000).to_pylist():
+                b = whole.slice(at, 2000)
+                sigs, owners, info, rows = [], [], [], []
+                for did, th, t in zip(*(b.column(c).to_pylist() for c in ("did", "th", "text")), strict=True):
                     sh = shingle_hashes(words_of(t), hashes)
-                    cls = class_of(sh)
-                    if not len(sh) or cls in met:  # copies in one partition are indexed once
+                    cls = class_of(sh) if len(sh) else None
+                    rows.append((did, th, len(sh), cls))
+                    if cls is None or cls in met:  # copies in one partition are indexed once
                         continue
                     met.add(cls)
                     for bits, h in bands(level, len(sh)).items():
                         s, usable = signatures(sh, bits, level)
                         sigs.append(s)
                         owners.append(np.full(len(s), cls))
-                        info.append((cls, bits, len(sh), h, usable))
+                        info.append((bits, len(sh), h, usable, cls))
                 if len(met) > 1_000_000:
                     met.clear()
+                for kind in (rows, info):  # these have numbers below 0 and only pass through
+                    if kind:
+                        p = [-1 - (x[0] + x[-1] if x[-1] is not None else x[0]) % buckets for x in kind]
+                        yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([x[:-1] for x in kind], pa.list_(pa.int64())), pa.array([[x[-1]] for x in kind], pa.list_(pa.int64()))], names=["p", "sigs", "cls"])
                 if not sigs:
                     continue
                 s, o = np.concatenate(sigs), np.concatenate(owners)
@@ -174,7 +187,6 @@ def _index(docs: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]])
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]]), lists(s), lists(o)], names=["p", "sigs", "cls"])
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - (x[0] % buckets) for x in info]), pa.array([list(x[1:]) for x in info], pa.list_(pa.int64())), pa.array([[x[0]] for x in info], pa.list_(pa.int64()))], names=["p", "sigs", "cls"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shared(s: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
@@ -205,10 +217,10 @@ def _index(docs: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         if held:
             yield shared(*map(np.concatenate, zip(*held, strict=True)))
 
-    rows = docs.select("text").mapInArrow(emit, "p long, sigs array<bigint>, cls array<bigint>").repartition("p").sortWithinPartitions("p")
+    rows = docs.select("did", "th", "text").mapInArrow(emit, "p long, sigs array<bigint>, cls array<bigint>").repartition("p").sortWithinPartitions("p")
     found = materialise(rows.mapInArrow(meet, "sig long, k long, pivot long, cls long, info array<bigint>"), f"signatures-{level}")
-    info = found.where("sig is null").select("cls", *(F.col("info")[i].alias(c) for i, c in enumerate(("bits", "n", "h", "usable")))).distinct()
-    return found.where("sig is not null").drop("info"), info
+    named = lambda size, *names: found.where((F.col("sig").isNull()) & (F.size("info") == size)).select(*(F.col("info")[i].alias(c) for i, c in enumerate(names)), "cls")
+    return found.where("sig is not null").drop("info"), named(4, "bits", "n", "h", "usable").distinct(), named(3, "did", "th", "n")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame) -> DataFrame:
@@ -254,63 +266,67 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("cls"), F.col("b").alias("label"))
 
 
-def _differ(x: str, y: str) -> Column:
-    return F.floor((F.col(f"{x}.n") + F.col(f"{y}.n")) / PER)
-
+def _prefixes(shared: DataFrame, info: DataFrame) -> DataFrame:
+    """(sig, k, pivot, cls, bits, n, h, usable, place): each class's shared signatures, numbered after those that it has alone, rarest first.
 
-def _similar_size(x: str, y: str) -> Column:
-    return 100 * F.least(f"{x}.n", f"{y}.n") >= LEAST * F.greatest(f"{x}.n", f"{y}.n")
+    Any two similar sets share more than usable - h signatures.  So, with all in one order, the rarest that they share is
+    among the first h + 1 of both; later ones are left out, and with them all sets that have more than h to themselves.
+    """
+    counted = shared.withColumn("bits", F.col("sig").bitwiseAND(F.lit(31)))
+    some = counted.groupBy("cls", "bits").agg(F.count(F.lit(1)).alias("__shared"))
+    may = info.join(some, ["cls", "bits"]).where(F.col("usable") - F.col("__shared") <= F.col("h"))
+    rows = counted.join(may, ["cls", "bits"])
+    place = F.row_number().over(Window.partitionBy("cls", "bits").orderBy("k", "sig")) + F.col("usable") - F.col("__shared")
+    return rows.withColumn("place", place).drop("__shared")
 
 
-def _round(docs: DataFrame, one: DataFrame, links: DataFrame, level: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+def _round(docs: DataFrame, one: DataFrame, links: DataFrame, shared: DataFrame, info: DataFrame, level: int, frequent: int) -> tuple[DataFrame, DataFrame]:
     """Links known after this level, and the classes that it has not covered."""
-    shared, info = _index(docs, level)
-    star = shared.where("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("v"))
+    limit = F.col("h") if level == 0 else F.floor(F.col("h") / 2)
+    info = info.withColumn("h", limit)
+    rows = materialise(_prefixes(shared, info), f"prefixes-{level}")
+    pivots = rows.groupBy("sig").agg(F.min("cls").alias("pivot"))  # of those that are left
+    star = rows.drop("pivot").join(pivots, "sig").where("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("v"))
     best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("v", -F.col("pivot"))).alias("pivot"))
     links = links.unionByName(verified(materialise(best.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), "stars"), docs, one))
     labels = components(links)
-    hot = shared.where(F.col("k") > frequent).select("cls", (F.col("sig").bitwiseAND(F.lit(31))).alias("bits")).groupBy("cls", "bits").agg(F.count(F.lit(1)).alias("hot"))
-    known = info.join(hot, ["cls", "bits"], "left").join(labels, "cls", "left")
-    known = materialise(known.select("cls", "bits", "n", "h", (F.col("usable") - F.coalesce("hot", F.lit(0))).alias("u"), F.coalesce("label", "cls").alias("label")), f"known-{level}")
-    rows = materialise(shared.where(F.col("k") <= frequent).select("sig", "cls", F.col("sig").bitwiseAND(F.lit(31)).alias("bits")).join(known, ["cls", "bits"]), f"infrequent-{level}")
-    x, y = rows.alias("x"), rows.alias("y")
-    can = _differ("x", "y") if level == 0 else F.floor(_differ("x", "y") / 2)
-    pairs = (
-        x.join(y, F.col("x.sig") == F.col("y.sig"))
-        .where((F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & _similar_size("x", "y"))
-        .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.bits").alias("bits"), (F.greatest("x.u", "y.u") - can).alias("need"))
-        .groupBy("a", "b", "bits", "need").agg(F.count(F.lit(1)).alias("v")).where("v >= need").select("a", "b").distinct()
-    )
+    first = rows.where(F.col("place") <= F.col("h") + 1)
+    known = first.where(F.col("k") <= frequent).join(labels, "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    pairs = _pairs(materialise(known, f"infrequent-{level}"))
     links = links.unionByName(verified(materialise(pairs, f"pairs-{level}"), docs, one))
-    limit = F.col("h") if level == 0 else F.floor(F.col("h") / 2)
-    return links, materialise(known.where(F.col("u") <= limit).select("cls").distinct(), f"uncovered-{level}")
+    return links, materialise(first.where(F.col("k") > frequent).select("cls").distinct(), f"uncovered-{level}")
 
 
-def _rest(docs: DataFrame, one: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs of different components among ``docs`` that share a signature of level 1, verified."""
-    shared, info = _index(docs, 1)
-    labels = components(links)
-    sizes = info.select("cls", "n").distinct().join(labels, "cls", "left").select("cls", "n", F.coalesce("label", "cls").alias("label"))
-    rows = materialise(shared.select("sig", "cls").join(sizes, "cls"), "rest")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of classes of different labels and similar sizes that share a signature."""
     x, y = rows.alias("x"), rows.alias("y")
-    near = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & _similar_size("x", "y")
-    pairs = x.join(y, F.col("x.sig") == F.col("y.sig")).where(near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    return links.unionByName(verified(materialise(pairs, "rest-pairs"), docs, one))
+    near = (F.col("x.cls") < F.col("y.cls")) & (F.col("x.label") != F.col("y.label")) & (100 * F.least("x.n", "y.n") >= LEAST * F.greatest("x.n", "y.n"))
+    return x.join(y, F.col("x.sig") == F.col("y.sig")).where(near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+
+
+def _rest(docs: DataFrame, one: DataFrame, links: DataFrame, shared: DataFrame, info: DataFrame) -> DataFrame:
+    """Links among classes that no level covers: all pairs of different components that share a signature in both prefixes."""
+    info = info.withColumn("h", F.floor(F.col("h") / 2))
+    first = _prefixes(shared, info).where(F.col("place") <= F.col("h") + 1)
+    rows = first.join(components(links), "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    return links.unionByName(verified(materialise(_pairs(materialise(rows, "rest")), "rest-pairs"), docs, one))
 
 
 def cluster(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """did, th, n, component for every row of ``docs`` (doc_id, text): component is its least doc_id."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), "text").withColumn("th", F.xxhash64("text"))
-    of = materialise(_classes(docs), "classes")
-    one = materialise(of.where("cls is not null").groupBy("cls").agg(F.min(F.struct("did", "th")).alias("one"), F.min(F.when(F.col("did") > -(1 << 63), F.col("did"))).alias("least")).select("cls", "one.*", "least"), "class-texts")
+    shared, info, of = _index(docs, 0)
+    one = of.where("cls is not null").groupBy("cls").agg(F.min(F.struct("did", "th")).alias("one"), F.min(F.when(F.col("did") > -(1 << 63), F.col("did"))).alias("least"))
+    one = materialise(one.select("cls", "one.*", "least"), "class-texts")
     pick = one.select("cls", "did", "th")
     none = one.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
-    links, uncovered = _round(docs, pick, none, 0, frequent)
+    links, uncovered = _round(docs, pick, none, shared, info, 0, frequent)
     if not uncovered.isEmpty():
-        some = lambda u: docs.join(maybe_broadcast(u.join(pick, "cls").select("did", "th")), ["did", "th"], "left_semi")
-        links, uncovered = _round(some(uncovered), pick, links, 1, frequent)
+        some = docs.join(maybe_broadcast(uncovered.join(pick, "cls").select("did", "th")), ["did", "th"], "left_semi")
+        shared, info, _ = _index(some, 1)
+        links, uncovered = _round(docs, pick, links, shared, info, 1, frequent)
         if not uncovered.isEmpty():
-            links = _rest(some(uncovered), pick, links)
+            links = _rest(docs, pick, links, shared.join(uncovered, "cls", "left_semi"), info)
     labels = components(links)
     named = one.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
@@ -325,7 +341,12 @@ def report(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
 def keep_one(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """The rows of ``docs`` without those whose component has a lower doc_id; of equal rows one stays."""
-    found = cluster(docs, frequent).where(F.col("component").isNull() | (F.col("component") == F.col("did"))).select("did", "th").distinct()
+    found = materialise(cluster(docs, frequent).where(F.col("component").isNull() | (F.col("component") == F.col("did"))).groupBy("did", "th").agg(F.count(F.lit(1)).alias("__times")), "kept")
+    ids = found.select(F.col("did").alias("__did"), F.col("th").alias("__th"), "__times")
     keys = {"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")}
-    kept = docs.withColumns(keys).join(maybe_broadcast(materialise(found.select(F.col("did").alias("__did"), F.col("th").alias("__th")), "kept")), ["__did", "__th"], "left_semi")
-    return kept.dropDuplicates(["__did", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = docs.withColumns(keys).join(maybe_broadcast(ids), ["__did", "__th"])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = kept.where("__times = 1").select(*own)
+    if not ids.where("__times > 1").isEmpty():  # only repeated rows are brought together
+        out = out.unionByName(kept.where("__times > 1").dropDuplicates(["__did", "__th"]).select(*own))
+    return out
