@@ -8,10 +8,11 @@ shares more than u - H, so the first H + 1 are enough, taken rarest first: segme
 before shared ones, and a set with more than H such segments has no partner and leaves.  Only sets whose first
 H + 1 reach segments that more than ``FREQUENT`` sets share are allocated level 1: fewer segments, each indexed with
 its one-deletion neighbourhood, of which at most H / 2 can differ by more.  Sets that even then reach frequent
-segments are compared with all of their kind that share one of them, copies and near copies being linked already.
+segments are indexed member by member (level 2): those that share one of the rarest quarter are compared, copies and
+near copies being linked already.
 
-Groups of copies: equal sets are one class before anything is indexed.  Members of a segment are first linked to
-one of them, the one they share most with; once links are verified, only members of different
+Groups of copies: equal sets are one class before anything is indexed.  Members of a segment are first compared with
+the most central of them, a few times over; once these links are verified, only members of different
 components are compared.  So no group is expanded into its pairs.
 All links are verified on the words themselves.  Components are found by contraction, in tables.
 
@@ -113,6 +114,8 @@ def segments(level: int, h: int) -> int:
 
 def bands(level: int, s: int) -> dict[int, int]:
     """For a set of size s: log2 of the numbers of segments it takes part in, each with the largest H there."""
+    if level == 2:  # every member is a segment; a similar set has LEAST percent of them at least
+        return {31: s + -LEAST * s // 100}
     least, most = (s + -(-LEAST * s // 100)) // PER, (s + 100 * s // LEAST) // PER
     out: dict[int, int] = {}
     for h in {most, *(x for x in _steps(level) if least <= x < most), least}:
@@ -132,6 +135,9 @@ def signatures(sh: np.ndarray, bits: int, level: int) -> tuple[np.ndarray, int]:
 
     The lowest five bits say ``bits``; a signature does not say whether a member was left out.
     """
+    if level == 2:
+        out = _distinct(sh | np.uint64(31))
+        return out, len(out)
     seg = sh >> np.uint64(64 - bits)
     start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
     m = _mixed(sh ^ _TURN[1])
@@ -225,6 +231,8 @@ def _index(docs: DataFrame, level: int) -> tuple[DataFrame, DataFrame, DataFrame
 
 def verified(pairs: DataFrame, docs: DataFrame, one: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose shingle sets are similar; ``one``: cls, did, th of a text of each class."""
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(one, "cls")
     texts = materialise(docs.select("did", "th", "text").join(maybe_broadcast(materialise(ids, "compared")), ["did", "th"]).groupBy("cls").agg(F.first("text").alias("text")), "compared-texts")
 
@@ -266,6 +274,18 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("cls"), F.col("b").alias("label"))
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (cls, label) after ``links`` (a, b): only links between different components are looked at again."""
+    at = lambda end: labels.select(F.col("cls").alias(end), F.col("label").alias(f"l{end}"))
+    ends = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b")
+    move = components(ends)
+    if move.isEmpty():
+        return labels
+    own = links.select(F.col("a").alias("cls")).union(links.select("b")).distinct().join(labels, "cls", "left_anti").select("cls", F.col("cls").alias("label"))
+    move = move.select(F.col("cls").alias("label"), F.col("label").alias("to"))
+    return materialise(labels.unionByName(own).join(move, "label", "left").select("cls", F.coalesce("to", "label").alias("label")), "merged-labels")
+
+
 def _prefixes(shared: DataFrame, info: DataFrame) -> DataFrame:
     """(sig, k, pivot, cls, bits, n, h, usable, place): each class's shared signatures, numbered after those that it has alone, rarest first.
 
@@ -280,21 +300,43 @@ def _prefixes(shared: DataFrame, info: DataFrame) -> DataFrame:
     return rows.withColumn("place", place).drop("__shared")
 
 
-def _round(docs: DataFrame, one: DataFrame, links: DataFrame, shared: DataFrame, info: DataFrame, level: int, frequent: int) -> tuple[DataFrame, DataFrame]:
-    """Links known after this level, and the classes that it has not covered."""
+#: How often members of a signature are compared with its most central one before all pairs that are left are.
+STARS = 1
+
+
+def _stars(docs: DataFrame, one: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
+    """Labels after each class was compared with one central class: of those that share its signatures, the ones that
+    share most with all others come first, as the text that copies were made from does.  A class is compared again,
+    with another, while it is not linked with what is central to it."""
+    central = rows.groupBy("cls").agg(F.sum("k").alias("weight"))
+    weighed = materialise(rows.select("sig", "cls").join(central, "cls"), "weighed")
+    tried: DataFrame | None = None
+    for _ in range(STARS):
+        known = weighed.join(labels, "cls", "left").select("sig", "cls", "weight", F.coalesce("label", "cls").alias("label"))
+        hubs = known.groupBy("sig").agg(F.max(F.struct("weight", "cls", "label")).alias("hub")).select("sig", F.col("hub.cls").alias("pivot"), F.col("hub.label").alias("at"), F.col("hub.weight").alias("hub_weight"))
+        star = known.join(hubs, "sig").where("label <> `at`").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("v"), F.first("hub_weight").alias("w"))
+        if tried is not None:
+            star = star.join(tried, ["cls", "pivot"], "left_anti")
+        best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("v", "w", "pivot")).alias("pivot"))
+        best = materialise(best, "stars")
+        if best.isEmpty():
+            break
+        tried = best if tried is None else tried.unionByName(best)
+        labels = merged(labels, verified(best.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), docs, one))
+    return labels
+
+
+def _round(docs: DataFrame, one: DataFrame, labels: DataFrame, shared: DataFrame, info: DataFrame, level: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """Labels known after this level, and the classes that it has not covered."""
     limit = F.col("h") if level == 0 else F.floor(F.col("h") / 2)
     info = info.withColumn("h", limit)
     rows = materialise(_prefixes(shared, info), f"prefixes-{level}")
-    pivots = rows.groupBy("sig").agg(F.min("cls").alias("pivot"))  # of those that are left
-    star = rows.drop("pivot").join(pivots, "sig").where("cls <> pivot").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("v"))
-    best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("v", -F.col("pivot"))).alias("pivot"))
-    links = links.unionByName(verified(materialise(best.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), "stars"), docs, one))
-    labels = components(links)
+    labels = _stars(docs, one, labels, rows)
     first = rows.where(F.col("place") <= F.col("h") + 1)
     known = first.where(F.col("k") <= frequent).join(labels, "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("label"))
     pairs = _pairs(materialise(known, f"infrequent-{level}"))
-    links = links.unionByName(verified(materialise(pairs, f"pairs-{level}"), docs, one))
-    return links, materialise(first.where(F.col("k") > frequent).select("cls").distinct(), f"uncovered-{level}")
+    labels = merged(labels, verified(materialise(pairs, f"pairs-{level}"), docs, one))
+    return labels, materialise(first.where(F.col("k") > frequent).select("cls").distinct(), f"uncovered-{level}")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -304,12 +346,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, F.col("x.sig") == F.col("y.sig")).where(near).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
 
 
-def _rest(docs: DataFrame, one: DataFrame, links: DataFrame, shared: DataFrame, info: DataFrame) -> DataFrame:
-    """Links among classes that no level covers: all pairs of different components that share a signature in both prefixes."""
-    info = info.withColumn("h", F.floor(F.col("h") / 2))
+def _rest(docs: DataFrame, one: DataFrame, labels: DataFrame, shared: DataFrame, info: DataFrame) -> DataFrame:
+    """Labels after the classes that no level covers: all pairs of different components that share a member among the rarest of both."""
     first = _prefixes(shared, info).where(F.col("place") <= F.col("h") + 1)
-    rows = first.join(components(links), "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("label"))
-    return links.unionByName(verified(materialise(_pairs(materialise(rows, "rest")), "rest-pairs"), docs, one))
+    rows = first.join(labels, "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("label"))
+    return merged(labels, verified(materialise(_pairs(materialise(rows, "rest")), "rest-pairs"), docs, one))
 
 
 def cluster(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -319,15 +360,15 @@ def cluster(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     one = of.where("cls is not null").groupBy("cls").agg(F.min(F.struct("did", "th")).alias("one"), F.min(F.when(F.col("did") > -(1 << 63), F.col("did"))).alias("least"))
     one = materialise(one.select("cls", "one.*", "least"), "class-texts")
     pick = one.select("cls", "did", "th")
-    none = one.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
-    links, uncovered = _round(docs, pick, none, shared, info, 0, frequent)
+    none = docs.sparkSession.createDataFrame([], "cls long, label long")
+    labels, uncovered = _round(docs, pick, none, shared, info, 0, frequent)
     if not uncovered.isEmpty():
-        some = docs.join(maybe_broadcast(uncovered.join(pick, "cls").select("did", "th")), ["did", "th"], "left_semi")
-        shared, info, _ = _index(some, 1)
-        links, uncovered = _round(docs, pick, links, shared, info, 1, frequent)
+        some = lambda u: docs.join(maybe_broadcast(u.join(pick, "cls").select("did", "th")), ["did", "th"], "left_semi")
+        shared, info, _ = _index(some(uncovered), 1)
+        labels, uncovered = _round(docs, pick, labels, shared, info, 1, frequent)
         if not uncovered.isEmpty():
-            links = _rest(docs, pick, links, shared.join(uncovered, "cls", "left_semi"), info)
-    labels = components(links)
+            shared, info, _ = _index(some(uncovered), 2)
+            labels = _rest(docs, pick, labels, shared, info)
     named = one.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     return of.join(named.join(least, "label").select("cls", "component"), "cls", "left").select("did", "th", "n", "component")
