@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -23,6 +24,8 @@ def duck():
 
 def rows(df):
     def cell(v):
+        if isinstance(v, (bool, np.bool_)):
+            return str(bool(v))
         if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
             return ""
         return repr(float(v)) if hasattr(v, "__float__") and not isinstance(v, (str, bool)) else str(v)
