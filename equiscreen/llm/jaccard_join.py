@@ -5,11 +5,12 @@ are hashed into m segments, m by size band: of the m pairs of segments at most H
 
 Which segments are spent is a matter of cost.  Level 0 indexes every non-empty segment, u of them.  A similar set
 shares more than u - H, so the first H + 1 are enough, taken rarest first: segments that a set has to itself come
-before shared ones, and a set with more than H such segments has no partner and leaves.  Only sets whose first
-H + 1 reach segments that more than ``FREQUENT`` sets share are allocated level 1: fewer segments, each indexed with
-its one-deletion neighbourhood, of which at most H / 2 can differ by more.  Sets that even then reach frequent
-segments are indexed member by member (level 2): those that share one of the rarest quarter are compared, copies and
-near copies being linked already.
+before shared ones, and a set with more than H such segments has no partner and leaves.  Two kinds of sets are
+allocated level 1: those whose first H + 1 reach segments that more than ``FREQUENT`` sets share, and those with no
+more than H non-empty segments, all of which may differ.  There are fewer segments there, each indexed with its
+one-deletion neighbourhood, of which at most H / 2 can differ by more.  Sets that even then reach frequent segments,
+or have at most H / 2 segments of two members, are indexed member by member (level 2): those that share one of the
+rarest quarter are compared, copies and near copies being linked already.
 
 Groups of copies: equal sets are one class before anything is indexed.  Members of a segment are first compared with
 the most central of them, a few times over; once these links are verified, only members of different
@@ -289,7 +290,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _prefixes(shared: DataFrame, info: DataFrame) -> DataFrame:
     """(sig, k, pivot, cls, bits, n, h, usable, place): each class's shared signatures, numbered after those that it has alone, rarest first.
 
-    Any two similar sets share more than usable - h signatures.  So, with all in one order, the rarest that they share is
+    Any two similar sets share usable - h signatures or more.  So, if usable is more than h, with all in one order, the rarest that they share is
     among the first h + 1 of both; later ones are left out, and with them all sets that have more than h to themselves.
     """
     counted = shared.withColumn("bits", F.col("sig").bitwiseAND(F.lit(31)))
@@ -336,7 +337,8 @@ def _round(docs: DataFrame, one: DataFrame, labels: DataFrame, shared: DataFrame
     known = first.where(F.col("k") <= frequent).join(labels, "cls", "left").select("sig", "cls", "n", F.coalesce("label", "cls").alias("label"))
     pairs = _pairs(materialise(known, f"infrequent-{level}"))
     labels = merged(labels, verified(materialise(pairs, f"pairs-{level}"), docs, one))
-    return labels, materialise(first.where(F.col("k") > frequent).select("cls").distinct(), f"uncovered-{level}")
+    spoiled = info.where(F.col("usable") <= F.col("h")).select("cls")  # these may share no signature with a similar set
+    return labels, materialise(first.where(F.col("k") > frequent).select("cls").union(spoiled).distinct(), f"uncovered-{level}")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:

@@ -221,6 +221,24 @@ def test_jaccard(docs, pairs, frequent):
     assert Counter(tuple(r) for r in jaccard_join.report(docs, frequent).collect()) == want
 
 
+def test_jaccard_short_sets(spark):
+    """Pairs of 3 to 20 shingles at similarity 0.75 to 0.9: all segments of some of them differ."""
+    rng, made, want = random.Random(11), [], set()
+    for i in range(2500):
+        n = rng.randint(3, 20)
+        words = [f"w{i}x{j}" for j in range(n + 4)]
+        cut = rng.randint(1, max(1, n // 4))
+        other = words[: n + 4 - cut] if rng.random() < 0.5 else words + [f"v{i}x{j}" for j in range(cut)]
+        a, b = (jaccard_join.shingle_set([w.encode() for w in x]) for x in (words, other))
+        made += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if 0.75 <= len(a & b) / len(a | b) <= 0.9:
+            want.add(i)
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.report(docs).collect()}
+    assert len(want) > 1000
+    assert not [i for i in want if found[2 * i + 1] != 2 * i]
+
+
 def test_jaccard_keeps_one(docs, pairs):
     _, component = brute_components(pairs)
     kept = [r["doc_id"] for r in jaccard_join.keep_one(docs).collect()]
