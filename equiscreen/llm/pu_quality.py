@@ -20,6 +20,7 @@ as positive if most of them are; other columns are ignored by ``score`` and kept
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,7 +57,7 @@ def features(text: str | None) -> np.ndarray:
         )
     out[265:269] = len(set(lines)) / len(lines), min(len(lines) / (k + 1), 1), np.log1p(n / len(lines)) / 10, sum(1 for x in lines if len(x) < 20) / len(lines)
     out[270:273] = sum(a == b for a, b in zip(words, words[1:])) / (k + 1), len(set(zip(words, words[1:]))) / (k + 1), min(k, 8) / 8
-    out[269] = max(lines.count(x) for x in lines[:50]) / len(lines)
+    out[269] = Counter(lines).most_common(1)[0][1] / len(lines)
     return out
 
 

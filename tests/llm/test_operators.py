@@ -314,6 +314,12 @@ def labelled(spark):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {i: (q, t) for i, q, t in labels}
 
 
+def test_quality_repeated_line_anywhere():
+    head, tail = [f"line {i}" for i in range(80)], ["junk"] * 900
+    share = [pu_quality.features("\n".join(x))[269] for x in (head + tail, tail + head)]
+    assert np.allclose(share, 900 / 980)
+
+
 def test_quality_held_out(labelled, docs):
     d, labels, truth = labelled
     rows = pu_quality.report(d, labels).collect()
