@@ -298,6 +298,23 @@ def test_xent(spark, docs, pairs):
     assert len(xent_scoring.codes_of(None)) == 1
 
 
+def test_xent_words(spark, docs, pairs):
+    """Word bigrams of all documents; a word order that byte trigrams hardly see is told apart."""
+    labels = spark.createDataFrame([(i, 1) for i in range(60, 80)], "doc_id long, quality int")
+    chains = [(d, ["<s>", *(t or "").encode().lower().split(), "</s>"]) for d, t in pairs]
+    size = len({w for _, c in chains for w in c[1:]})
+    pair, context = [Counter(), Counter()], [Counter(), Counter()]
+    for d, c in chains:
+        side = 0 if d is not None and 60 <= d < 80 else 1
+        pair[side].update(zip(c, c[1:]))
+        context[side].update(c[:-1])
+    loss = lambda c, k: -np.mean([np.log((pair[k][x] + xent_scoring.ADD) / (context[k][x[0]] + xent_scoring.ADD * size)) for x in zip(c, c[1:])])
+    want = sorted((-1 if d is None else d, len(c) - 1, loss(c, 0), loss(c, 1)) for d, c in chains)
+    got = sorted((-1 if r[0] is None else r[0], *r[1:4]) for r in xent_scoring.report(docs, labels).collect())
+    assert np.allclose(got, want) and len(got) == len(want)
+    assert xent_scoring.report(docs.limit(0), labels).count() == 0
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     r = random.Random(8)
