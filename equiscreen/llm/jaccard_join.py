@@ -356,7 +356,7 @@ def _rest(docs: DataFrame, one: DataFrame, labels: DataFrame, shared: DataFrame,
 
 
 def cluster(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """did, th, n, component for every row of ``docs`` (doc_id, text): component is its least doc_id."""
+    """did, th, n, component, label for every row of ``docs`` (doc_id, text): component is its least doc_id, label one of its classes."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), "text").withColumn("th", F.xxhash64("text"))
     shared, info, of = _index(docs, 0)
     one = of.where("cls is not null").groupBy("cls").agg(F.min(F.struct("did", "th")).alias("one"), F.min(F.when(F.col("did") > -(1 << 63), F.col("did"))).alias("least"))
@@ -373,7 +373,7 @@ def cluster(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
             labels = _rest(docs, pick, labels, shared, info)
     named = one.join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"), "least")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
-    return of.join(named.join(least, "label").select("cls", "component"), "cls", "left").select("did", "th", "n", "component")
+    return of.join(named.join(least, "label").select("cls", "label", "component"), "cls", "left").select("did", "th", "n", "component", "label")
 
 
 def report(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -383,8 +383,11 @@ def report(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a lower doc_id; of equal rows one stays."""
-    found = materialise(cluster(docs, frequent).where(F.col("component").isNull() | (F.col("component") == F.col("did"))).groupBy("did", "th").agg(F.count(F.lit(1)).alias("__times")), "kept")
+    """One row of each component: of the lowest doc_id, nulls last, then of the least text hash; of equal rows without shingles one."""
+    found = materialise(cluster(docs, frequent).groupBy("did", "th", "label").agg(F.count(F.lit(1)).alias("__times")), "rows")
+    rank = F.struct(F.col("did") == -(1 << 63), "did", "th", "__times")
+    first = found.where("label is not null").groupBy("label").agg(F.min(rank).alias("r")).select("r.did", "r.th", "r.__times")
+    found = materialise(first.unionByName(found.where("label is null").select("did", "th", "__times")), "kept")
     ids = found.select(F.col("did").alias("__did"), F.col("th").alias("__th"), "__times")
     keys = {"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")}
     kept = docs.withColumns(keys).join(maybe_broadcast(ids), ["__did", "__th"])

@@ -221,6 +221,15 @@ def test_jaccard(docs, pairs, frequent):
     assert Counter(tuple(r) for r in jaccard_join.report(docs, frequent).collect()) == want
 
 
+def test_jaccard_keeps_one_of_unclear_ids(spark):
+    w = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*w[:100], *end])) for i in (None, 7) for end in (["a"], ["b"], ["c"], ["c"])]
+    rows = [(i, t.replace("w", "v") if i else t) for i, t in rows] + [(None, None), (None, None), (3, "w1 w2 w3"), (None, "w1 w2 w3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r["doc_id"], (r["text"] or "")[:3]) for r in jaccard_join.keep_one(docs).collect())
+    assert kept == Counter([(None, "w0 "), (7, "v0 "), (None, ""), (3, "w1 ")])
+
+
 def test_jaccard_short_sets(spark):
     """Pairs of 3 to 20 shingles at similarity 0.75 to 0.9: all segments of some of them differ."""
     rng, made, want = random.Random(11), [], set()
