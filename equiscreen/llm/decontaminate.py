@@ -9,7 +9,7 @@ what is broadcast at once has a fixed bound; with more blocks the documents are
 hits of a document are merged.
 
 Defined results: null or wordless text has no words and no hits; an empty benchmark hits nothing; equal items
-count as often as their distinct ids; null item texts have no windows; other columns are ignored.
+count as often as their distinct ids; null item texts have no windows; items without an id hit as others do and are not among the items named; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The windows of one block of items, by length."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
         self.vocab: dict[bytes, int] = {}
         self.by_length: dict[int, dict[tuple, set[str]]] = {}
         for item, text in items:
@@ -47,7 +47,9 @@ class Windows:
             m = min(n, len(ids))
             windows = self.by_length.setdefault(m, {})
             for i in range(len(ids) - m + 1):
-                windows.setdefault(tuple(ids[i : i + m]), set()).add(item)
+                of = windows.setdefault(tuple(ids[i : i + m]), set())
+                if item is not None:
+                    of.add(item)
         self.hashes = {m: np.unique(self._rolled(np.array(list(w), dtype=np.uint64).reshape(-1, m), m)) for m, w in self.by_length.items()}
 
     @staticmethod
@@ -73,16 +75,16 @@ class Windows:
             for j in range(m):
                 h = h * _P + ids[starts + j]
             for s in starts[np.isin(h, self.hashes[m])].tolist():
-                if items := windows.get(tuple(ids[s : s + m].tolist())):
+                if (items := windows.get(tuple(ids[s : s + m].tolist()))) is not None:
                     hit[s : s + m] = True
                     found |= items
         return hit, found
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items in blocks of bounded size; the driver holds one block at a time."""
     block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("i is not null and text is not null").toLocalIterator():
+    for r in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").where("text is not null").toLocalIterator():
         block.append((r["i"], r["text"]))
         size += len(r["text"]) // 2 + 1
         if size >= block_words:
@@ -95,7 +97,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
 FOUND = "__n_words long, __spans array<struct<a:bigint,b:bigint>>, __items array<string>"
 
 
-def _match(docs: DataFrame, items: list[tuple[str, str]], n: int, keep: list[str]) -> DataFrame:
+def _match(docs: DataFrame, items: list[tuple[str | None, str]], n: int, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, with the number of its words, spans of hit words [a, b), items."""
     held = docs.sparkSession.sparkContext.broadcast(items)
     spans_kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))

@@ -111,6 +111,16 @@ def test_decontamination(spark, docs, pairs):
     assert decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_items_without_id(spark):
+    w = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, "nothing here")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, " ".join(w[5:20])), (4, " ".join(w[10:22])), (None, None)], "item_id long, text string")
+    for block in (1_000_000, 5):
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.report(docs, bench, block_words=block).collect()}
+        assert got == {1: (17, 1, hashlib.sha256(b"4").hexdigest(), True), 2: (0, 0, hashlib.sha256(b"").hexdigest(), False)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [2]
+
+
 def test_packing(spark, docs, pairs):
     from tokenizers import Tokenizer
 
