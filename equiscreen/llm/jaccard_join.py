@@ -324,8 +324,8 @@ def close_pairs(n: np.ndarray, label: np.ndarray, maps: tuple, rest: np.ndarray,
 
 
 def compared(rows: DataFrame, labels: DataFrame, classes: DataFrame, closest: bool) -> DataFrame:
-    """(a, b, la, lb, bits) for the pairs of classes of ``rows`` (sig, cls) of different components la, lb that share a
-    signature and whose bitmaps are close; with ``closest`` only one pair of each two components in a group."""
+    """(a, b, la, lb, bits, n) for the pairs of classes of ``rows`` (sig, cls) of different components la, lb that share a
+    signature and whose bitmaps are close; with ``closest`` only one of the n pairs of each two components in a group."""
     known = rows.join(labels, "cls", "left").select("sig", "cls", F.coalesce("label", "cls").alias("label"))
     tops = known.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels"))
     mixed = known.join(tops.where("labels > 1"), "sig").join(classes.select("cls", "n", "bitmap"), "cls")
@@ -345,16 +345,20 @@ def compared(rows: DataFrame, labels: DataFrame, classes: DataFrame, closest: bo
                 i, j, bits = close_pairs(np.array(n), np.array(label), maps, np.flatnonzero(~np.array(top)), np.array(own))
             if len(i):
                 cls, label = np.array(cls), np.array(label)
-                one = np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), bits])
+                one = np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), np.minimum(label[i], label[j]), np.maximum(label[i], label[j]), bits, np.ones(len(i), np.int64)])
+                one = one[:, np.lexsort(one[[1, 0, 4, 3, 2]])]
+                one = one[:, np.concatenate([[True], (one[:4, 1:] != one[:4, :-1]).any(axis=0)])]  # both members of a pair may be among the dealt
                 if closest:
-                    one = one[:, np.lexsort(one[[1, 0, 4, 3, 2]])]
-                    one = one[:, np.concatenate([[True], (one[2:4, 1:] != one[2:4, :-1]).any(axis=0)])]
+                    start = np.flatnonzero(np.concatenate([[True], (one[2:4, 1:] != one[2:4, :-1]).any(axis=0)]))
+                    count = np.diff(np.append(start, one.shape[1]))
+                    one = one[:, start]
+                    one[5] = count
                 found.append(one)
 
         def batch() -> pa.RecordBatch:
-            cols = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+            cols = np.concatenate(found, axis=1) if found else np.zeros((6, 0), np.int64)
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "la", "lb", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "la", "lb", "bits", "n"])
 
         held: list[tuple] = []
         for b in batches:
@@ -369,7 +373,7 @@ def compared(rows: DataFrame, labels: DataFrame, classes: DataFrame, closest: bo
             group(held)
         yield batch()
 
-    return dealt.repartition("sig", "chunk").sortWithinPartitions("sig", "chunk").mapInArrow(run, "a long, b long, la long, lb long, bits long")
+    return dealt.repartition("sig", "chunk").sortWithinPartitions("sig", "chunk").mapInArrow(run, "a long, b long, la long, lb long, bits long, n long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -469,14 +473,22 @@ def _stars(docs: DataFrame, classes: DataFrame, labels: DataFrame, rows: DataFra
 
 
 def _linked(docs: DataFrame, classes: DataFrame, labels: DataFrame, rows: DataFrame) -> DataFrame:
-    """Labels after all pairs of ``rows`` (sig, cls) that share a signature: the closest of each two components, then the others."""
-    near = compared(rows, labels, classes, True).groupBy("la", "lb").agg(F.min(F.struct("bits", "a", "b")).alias("one"))
-    near = materialise(near.select("one.a", "one.b"), "closest")
+    """Labels after all pairs of ``rows`` (sig, cls) that share a signature: the closest of each two components, then the
+    others of those two components that this has not linked."""
+    pair = F.struct("a", "b")
+    near = compared(rows, labels, classes, True).groupBy("la", "lb").agg(F.min(F.struct("bits", "a", "b")).alias("one"), ((F.max("n") > 1) | (F.min(pair) != F.max(pair))).alias("more"))
+    near = materialise(near.select("la", "lb", "one.a", "one.b", "more"), "closest")
     if near.isEmpty():
         return labels
-    labels = merged(labels, verified(near, docs, classes))
-    rest = compared(rows, labels, classes, False).select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-    return merged(labels, verified(materialise(rest, "others"), docs, classes))
+    links = verified(near.select("a", "b"), docs, classes)
+    open_ = near.where("more").join(links, ["a", "b"], "left_anti")
+    ends = materialise(open_.select(F.col("la").alias("label")).union(open_.select("lb")).distinct(), "open")
+    after = merged(labels, links)
+    if ends.isEmpty():
+        return after
+    left = rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")).join(ends, "label", "left_semi").select("sig", "cls")
+    rest = compared(left, after, classes, False).select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
+    return merged(after, verified(materialise(rest, "others"), docs, classes))
 
 
 def _round(docs: DataFrame, classes: DataFrame, labels: DataFrame, shared: DataFrame, info: DataFrame, level: int, frequent: int) -> tuple[DataFrame, DataFrame | None]:
