@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an id table that may be broadcast (16 bytes a row: 32 MB at most); larger ones take a shuffled join.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a table of a few numbers a row that may be broadcast (up to about 100 bytes a row once it is hashed, so
+#: 40 MB); larger ones take a shuffled join.
+BROADCAST_ROWS = 400_000
 
 _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one only where it is unset."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A temporary one is made only where that is unset and all of Spark is one process; elsewhere it is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -37,6 +44,15 @@ def maybe_broadcast(ids: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(bound + 1).count() <= bound else ids
 
 
+def chosen_rows(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(doc_id, text) of ``docs`` with one of ``ids`` (bounded: it is broadcast): equal rows once, and ``most`` rows at
+    most, by a hash of id and text, however many rows have an id."""
+    key = F.xxhash64("doc_id", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").withColumn("key", key)
+    keys = found.select("key").distinct().orderBy("key").limit(most)
+    return found.join(F.broadcast(keys), "key").groupBy("key").agg(F.first(F.struct("doc_id", "text")).alias("row")).select("row.*")
+
+
 def id_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import materialise
 
@@ -94,7 +95,8 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str |
         yield block
 
 
-FOUND = "__n_words long, __spans array<struct<a:bigint,b:bigint>>, __items array<string>"
+SPANS = ArrayType(StructType([StructField("a", LongType()), StructField("b", LongType())]))
+FOUND = [StructField("__n_words", LongType()), StructField("__spans", SPANS), StructField("__items", ArrayType(StringType()))]
 
 
 def _match(docs: DataFrame, items: list[tuple[str | None, str]], n: int, keep: list[str]) -> DataFrame:
@@ -116,8 +118,7 @@ def _match(docs: DataFrame, items: list[tuple[str | None, str]], n: int, keep: l
             cols = [*(b.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(spans, spans_kind), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "__n_words", "__spans", "__items"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return docs.select(*{"text": 0} | dict.fromkeys(keep)).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [FOUND]))
+    return docs.select(*{"text": 0} | dict.fromkeys(keep)).mapInArrow(run, StructType([*(docs.schema[c] for c in keep), *FOUND]))
 
 
 def _merged(spans: Column) -> Column:
@@ -164,18 +165,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_share: float =
     """``docs`` without the hit words' spans; documents of which more than ``max_share`` of the words are hit go.
 
     A span runs from the first byte of its first word to the first byte of the word after it.  Documents
-    without hits stay byte for byte, and all columns stay.
+    without hits stay byte for byte, and all columns stay, of any name.
     """
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, n_words, spans = b.schema.get_field_index("text"), b.column("__n_words").to_pylist(), b.column("__spans").to_pylist()
+            n_words, spans, own = b.column("__n_words").to_pylist(), b.column("__spans").to_pylist(), b.column("row").flatten()
             keep = [sum(x["b"] - x["a"] for x in s) <= max_share * k for s, k in zip(spans, n_words, strict=True)]
-            texts = [cut_words(t, [(x["a"], x["b"]) for x in s]) if s else t for t, s in zip(b.column(at).to_pylist(), spans, strict=True)]
-            cols = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns - 3)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-3]).filter(pa.array(keep, pa.bool_()))
+            texts = [cut_words(t, [(x["a"], x["b"]) for x in s]) if s else t for t, s in zip(own[at].to_pylist(), spans, strict=True)]
+            own[at] = pa.array(texts, own[at].type)
+            yield pa.RecordBatch.from_arrays(own, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return hits(docs, benchmark, docs.columns, n, block_words).mapInArrow(run, docs.schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # so that no column of theirs can clash
+    return hits(docs.select("text", row), benchmark, ["row"], n, block_words).mapInArrow(run, docs.schema)
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -4,11 +4,11 @@ A sentence's probability is a logistic model of the words it has.  A document's
 sentences, 1 - prod(1 - p).  Only document labels are known, and the weights are trained through the noisy-or.
 
 Scale: words are hashed in one map over whole texts.  The fit sees the words of at most ``max_labelled``
-labelled documents, picked by a hash of the id; a few thousand weights go back to the map that scores and locates.
+labelled rows, picked by a hash of the id, however many rows share one; a few thousand weights go back to the map that scores and locates.
 
 Defined results: null, empty and wordless texts have no sentences and score 0; without labels every score
 is 0; repeated rows are scored one by one, an id with several labels counts as toxic if most of them say so;
-very long texts are scored whole; other columns are ignored.
+very long texts are scored whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, materialise
+from .common import chosen_rows, id_crc, materialise
 
 #: Bound of the fit's sample of documents; how many of them a word must be in, and how many standard errors
 #: its share among toxic ones must lie from its share among all, to have a weight.
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, max_labelled: int =
     """
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     chosen = marked.where(fold).orderBy(F.xxhash64(F.lit("mil"), "doc_id")).limit(max_labelled)
-    sample = materialise(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text"), "toxicity-sample")  # bounded
+    sample = materialise(chosen_rows(docs, chosen, max_labelled).join(F.broadcast(chosen), "doc_id").select("y", "text"), "toxicity-sample")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

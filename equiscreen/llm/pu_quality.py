@@ -11,11 +11,12 @@ margin for chance, is the prior.  The second model then minimises the non-negati
 with the logistic loss: where the second term falls below zero, steps go against it.
 
 Scale: features are computed in one map over whole texts.  The fit sees at most ``max_positive`` and
-``max_unlabelled`` documents, picked by a hash of the id; a few hundred weights go back to the map that scores.
+``max_unlabelled`` rows, picked by a hash of the id, however many rows share one; a few hundred weights go back to the map that scores.
 
 Defined results: null text counts as empty; empty texts get the score of their features, between 0 and 1;
 without any positives every score is 0.5; repeated rows are scored one by one, an id with several labels counts
-as positive if most of them are; other columns are ignored by ``score`` and kept by ``keep_good``.
+as positive if most of them are; very long texts are read whole; an empty table gives an empty result; other
+columns, of any name, are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import id_crc
+from .common import chosen_rows, id_crc
 
 #: Bounds of the fit's sample.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 12_000
@@ -134,13 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, max_positive: int =
     pick = F.xxhash64(F.lit("pu"), "doc_id")
     good = labels.groupBy("doc_id").agg(F.avg("quality").alias("q")).where(fold & F.col("doc_id").isNotNull() & (F.col("q") >= 0.5)).orderBy(pick).limit(max_positive).select("doc_id")
     web = docs.select("doc_id").where(fold & F.col("doc_id").isNotNull()).orderBy(pick).limit(max_unlabelled).distinct()
-    chosen = [docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi") for ids in (good, web)]  # both bounded
-    return fit(*map(_featurised, chosen))
+    return fit(*(_featurised(chosen_rows(docs, ids, most)) for ids, most in ((good, max_positive), (web, max_unlabelled))))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs`` and its score."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    """The columns ``keep`` of every row of ``docs`` and, last, its score, as __score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -150,7 +150,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64())], names=[*keep, "__score"])
 
     columns = list({"text": 0} | dict.fromkeys(keep))
-    return docs.select(*columns).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "__score double"]))
+    kept = [docs.schema[c] for c in keep]
+    return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, StructType([*kept, StructField("__score", DoubleType())]))
 
 
 def training_fold() -> Column:
@@ -167,4 +168,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, all columns as they are."""
-    return score(docs, train(docs, labels, training_fold()), docs.columns).where(F.col("__score") >= threshold).drop("__score")
+    model = train(docs, labels, training_fold())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # so that no column of theirs can clash
+    return score(docs.select("text", row), model, ["row"]).where(F.col("__score") >= threshold).select("row.*")

@@ -10,7 +10,7 @@ themselves are numbered in windows of (arc, salt, sub), which split any hot key,
 whose size is bounded by the parameters.
 
 Defined results: null text has size 1 and crc32 of the empty text; a null id is a key like any other;
-repeated rows are placed one by one; an empty table gives an empty result; other columns are ignored.
+repeated rows are placed one by one; very long texts count whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -62,8 +62,14 @@ def walk_ring(arcs: list[tuple[int, int, int]], shards: int) -> list[dict]:
     plan: list[dict] = []
     while waiting:
         open_ = [i for i, (_, s, _) in enumerate(arcs) if room[s]]
-        if not open_:  # a shard without virtual nodes on the ring: the rest goes to whoever has room
-            open_ = list(range(len(arcs)))
+        if not open_:  # only shards without virtual nodes have room left: they take the rest in turn
+            for i, lo, hi in waiting:
+                for s in range(shards):
+                    take = min(hi - lo, room[s])
+                    if take:
+                        plan.append({"arc": arcs[i][0], "from": lo, "to": lo + take, "shard": s, "slot": used[s]})
+                        used[s], room[s], lo = used[s] + take, room[s] - take, lo + take
+            break
         offers: dict[int, list] = {}
         at = 0
         for i, lo, hi in waiting:

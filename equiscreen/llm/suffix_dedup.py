@@ -19,7 +19,8 @@ consecutive and lie in one string, its context.
    128 bits each, and counted, which spreads them and is exact as well.
 
 Defined results: null text has no bytes; texts shorter than SPAN lose nothing; repeated rows repeat all
-their windows; an empty table gives an empty result.
+their windows; very long texts are read whole; an empty table gives an empty result; other columns, of any name, are
+ignored by ``report`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SPAN, K = 400, 128
+#: Bytes (a multiple of 8) of a string that the report also counts where it repeats, and that the corpus pipeline removes: 40 words or more.
+PASSAGE, PASSAGE_K = 248, 96
 #: Contexts of one anchor that are sorted in one task, bytes that are sorted at once, and windows hashed at once.
 MAX_GROUP, BLOCK, CHUNK = 4096, 1 << 19, 1 << 20
-#: Rows of a side that may be broadcast: contexts (about 60 bytes) or repeated spans.
-SMALL_SIDE = 1_000_000
+#: Rows of a side that may be broadcast: contexts (about 60 bytes) or repeated spans; 40 MB at most once hashed.
+SMALL_SIDE = 400_000
 _ONE = np.uint64(1)
 
 
@@ -310,14 +313,21 @@ def _joined(texts: DataFrame, spans: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(spans) if few else spans, ["did", "th"], "left")
 
 
-def report(docs: DataFrame, span: int = SPAN, k: int = K, max_group: int = MAX_GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``."""
+def report(docs: DataFrame, span: int = SPAN, k: int = K, max_group: int = MAX_GROUP, passage: int = PASSAGE, passage_k: int = PASSAGE_K) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated for every row of ``docs``.
+
+    n_repeated counts the bytes that a string of ``passage`` bytes covers which also starts anywhere else: passages too
+    short to be removed, such as one of 50 short words.
+    """
     texts = _texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).drop("text")
-    joined = _joined(texts, repeated_spans(texts.select("did", "th", "raw"), span, k, max_group))
-    spans = F.coalesce("spans", F.array().cast("array<struct<a:bigint,b:bigint>>"))
-    return joined.withColumn("spans", spans).select(
-        "doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["b"] - x["a"]).alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2(kept_bytes("raw", "spans"), 256).alias("kept_sha256"),
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    bytes_of = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda t, x: t + x["b"] - x["a"])
+    shorter = repeated_spans(texts.select("did", "th", "raw"), passage, passage_k, max_group).select("did", "th", bytes_of("spans").alias("n_repeated"))
+    shorter = materialise(shorter, "repeated-bytes")
+    joined = _joined(texts, repeated_spans(texts.select("did", "th", "raw"), span, k, max_group)).join(_small(shorter), ["did", "th"], "left")
+    return joined.withColumn("spans", F.coalesce("spans", none)).select(
+        "doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), bytes_of("spans").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2(kept_bytes("raw", "spans"), 256).alias("kept_sha256"), F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated"),
     )
 
 
@@ -331,17 +341,18 @@ def kept_bytes(raw: str, spans: str) -> Column:
 
 def clean(docs: DataFrame, span: int = SPAN, k: int = K, max_group: int = MAX_GROUP) -> DataFrame:
     """``docs`` with the repeated bytes removed; characters of which a part is gone go whole.  All rows and columns stay."""
-    texts = _texts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text"))
-    joined = _joined(texts.select("__row", "did", "th"), repeated_spans(texts.select("did", "th", "raw"), span, k, max_group))
+    texts = _texts(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text"))
+    names, at = docs.columns, docs.columns.index("text")
+    joined = _joined(texts.select("row", "did", "th"), repeated_spans(texts.select("did", "th", "raw"), span, k, max_group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, spans = b.schema.get_field_index("text"), b.column("__spans").to_pylist()
-            texts = [t if not s else cut_text(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(b.column(at).to_pylist(), spans, strict=True)]
-            cols = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+            own = b.column("row").flatten()
+            texts = [t if not s else cut_text(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(own[at].to_pylist(), b.column("spans").to_pylist(), strict=True)]
+            own[at] = pa.array(texts, own[at].type)
+            yield pa.RecordBatch.from_arrays(own, names=names)
 
-    return joined.select("__row.*", F.col("spans").alias("__spans")).mapInArrow(run, docs.schema)
+    return joined.select("row", "spans").mapInArrow(run, docs.schema)
 
 
 def cut_text(text: str, spans: list[tuple[int, int]]) -> str:

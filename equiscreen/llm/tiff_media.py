@@ -7,7 +7,9 @@ Samples have 8 or 16 bits, chunky or planar.  ``write_pages`` is its inverse for
 Scale: files are decoded in the map that reads them; a page's pixels are the most that is held at once besides
 the file.  A file that is broken gives the pages before the break and one row with the error.
 
-Defined results: null media give no pages; null text is the empty text; equal texts give equal bytes.
+Defined results: null media give no pages; null text is the empty text; equal texts give equal bytes; very long texts
+are stored whole, 64 rows a page; an empty table gives an empty result; a directory whose sizes are zero, or more than
+the file can hold unpacked, is an error row.  Not read: floating-point predictors, 1, 4 and 32 bits, BigTIFF.
 """
 
 from __future__ import annotations
@@ -100,6 +102,8 @@ def lzw_decode(data: bytes) -> bytes:
         if not last:
             word = table[code]
         else:
+            if code >= len(table) + bool(last):
+                raise ValueError(f"LZW code {code} of {len(table)}")
             word = table[code] if code < len(table) else last + last[:1]
             table.append(last + word[:1])
             if len(table) >= (1 << width) - 1 and width < 12:  # codes grow one early
@@ -168,6 +172,10 @@ def _directory(raw: bytes, order: str, at: int) -> tuple[dict[int, list[int]], i
     return tags, struct.unpack_from(order + "I", raw, at + 2 + 12 * count)[0]
 
 
+#: Bytes that a byte of a file can unpack to at most: deflate's limit is 1032, LZW's 4096 for each 9 bits.
+MOST_UNPACKED = 3_700
+
+
 def read_pages(raw: bytes) -> Iterator[Page]:
     order = {b"II*\0": "<", b"MM\0*": ">"}.get(bytes(raw[:4]))
     if order is None:
@@ -193,6 +201,10 @@ def _page(raw: bytes, order: str, tags: dict[int, list[int]], number: int) -> Pa
     tiled = TILE_AT in tags
     w, h = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(one(STRIP_ROWS, height), height))
     places, sizes = (tags[TILE_AT], tags[TILE_SIZE]) if tiled else (tags[STRIP_AT], tags[STRIP_SIZE])
+    if min(width, height, samples, w, h) < 1:
+        raise ValueError(f"a page of {width} x {height}, parts of {w} x {h}, {samples} samples")
+    if width * height * samples * bits // 8 > MOST_UNPACKED * len(raw) or w * h * samples * bits // 8 > MOST_UNPACKED * len(raw):
+        raise ValueError(f"a page of {width} x {height} in {len(raw)} bytes")
     kind, deep = np.dtype(f"{order}u{bits // 8}"), samples // planes
     across, down = -(-width // w), -(-height // h)
     pixels = np.zeros((height, width, samples), kind.newbyteorder("="))
@@ -259,7 +271,7 @@ def store(payload: bytes) -> bytes:
     for y in range(0, len(pixels), PAGE_ROWS):
         page = pixels[y : y + PAGE_ROWS]
         c = zlib.crc32(page.tobytes())
-        compression = {0: LZW, 1: PLAIN, 2: PACKBITS, 3: PACKBITS}.get(c % 16, DEFLATE)
+        compression = (PLAIN, PACKBITS, LZW, DEFLATE)[c % 4]
         pages.append((page, compression, 2 if compression in (LZW, DEFLATE) and c >> 8 & 1 else 1, bool(c >> 9 & 1)))
     return write_pages(pages)
 
@@ -286,7 +298,7 @@ def pages(media: DataFrame, raw: str = "media") -> DataFrame:
                 try:
                     for p in read_pages(data):
                         rows.append((p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None))
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
+                except (ValueError, ArithmeticError, MemoryError, LookupError, TypeError, struct.error, zlib.error) as e:
                     rows.append((len(rows), *[None] * 8, f"{type(e).__name__}: {e}"))
                 if not rows:
                     continue

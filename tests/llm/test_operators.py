@@ -177,9 +177,10 @@ def test_suffix_order_is_exact():
 @pytest.mark.parametrize("max_group", [4096, 1])
 def test_suffix_dedup(docs, pairs, max_group):
     span = 400
-    count = Counter()
+    count, short = Counter(), Counter()
     for _, t in pairs:
         b = (t or "").encode()
+        short.update(b[i : i + 248] for i in range(len(b) - 248 + 1))
         count.update(b[i : i + span] for i in range(len(b) - span + 1))
     want = Counter()
     for d, t in pairs:
@@ -189,7 +190,11 @@ def test_suffix_dedup(docs, pairs, max_group):
             if count[b[i : i + span]] > 1:
                 gone[i : i + span] = True
         runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        want[(d, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest())] += 1
+        passages = np.zeros(len(b), bool)
+        for i in range(len(b) - 248 + 1):
+            if short[b[i : i + 248]] > 1:
+                passages[i : i + 248] = True
+        want[(d, len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest(), int(passages.sum()))] += 1
     assert Counter(tuple(r) for r in suffix_dedup.report(docs, max_group=max_group).collect()) == want
 
 
@@ -375,3 +380,100 @@ def test_toxicity_held_out(labelled, docs):
     spots = mil_toxicity.locate(d, model).collect()
     assert spots and np.mean([bool(re.search("idiot|moron|scumbag", r["text"])) for r in spots]) > 0.95
     assert mil_toxicity.report(docs, labels).count() == docs.count() and mil_toxicity.report(docs, labels.limit(0)).where("score = 0").count() == docs.count()
+
+
+def test_sharding_ends_where_a_shard_has_no_arc():
+    plan = ring_sharding.walk_ring([(0, 0, 10)], 2)
+    load = Counter()
+    for p in plan:
+        load[p["shard"]] += p["to"] - p["from"]
+    assert load == {0: 5, 1: 5}
+
+
+def test_ring_against_plain_ring():
+    """Rows one after the other: home, or clockwise on to the first shard with room."""
+    r = random.Random(8)
+    for _ in range(20):
+        arcs = [(i, r.randrange(4), r.randrange(30)) for i in range(32)] + [(32 + i, i, 3) for i in range(4)]
+        total = sum(n for _, _, n in arcs)
+        room = [total // 4 + (s < total % 4) for s in range(4)]
+        load = Counter()
+        for p in ring_sharding.walk_ring(arcs, 4):
+            load[p["shard"]] += p["to"] - p["from"]
+        assert [load[s] for s in range(4)] == room
+
+
+def test_samples_are_bounded_where_ids_repeat(spark):
+    from equiscreen.llm.common import chosen_rows
+
+    docs = spark.createDataFrame([(i % 2, f"text {i}") for i in range(5000)] + [(0, "same")] * 300, "doc_id long, text string")
+    ids = spark.createDataFrame([(0,), (1,)], "doc_id long")
+    got = chosen_rows(docs, ids, 50).collect()
+    assert len(got) == 50 == len({(r["doc_id"], r["text"]) for r in got})
+    assert chosen_rows(docs, ids.where("doc_id = 0"), 9999).count() == 2501
+
+
+def test_tiff_hostile_files(spark):
+    import struct
+
+    good = bytearray(tiff_media.store(b"\xff" * 576))
+
+    def changed(tag, value):
+        raw = bytearray(good)
+        at = struct.unpack_from("<I", raw, 4)[0]
+        for i in range(struct.unpack_from("<H", raw, at)[0]):
+            if struct.unpack_from("<H", raw, at + 2 + 12 * i)[0] == tag:
+                struct.pack_into("<HII", raw, at + 4 + 12 * i, 4, 1, value)
+        return raw
+
+    tag_rows = tiff_media.TILE_HEIGHT if next(tiff_media.read_pages(bytes(good))).tiled else tiff_media.STRIP_ROWS
+    bad = [changed(tag_rows, 0), changed(tiff_media.WIDTH, 2_000_000_000), changed(tiff_media.HEIGHT, 2_000_000_000), changed(tiff_media.WIDTH, 0)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([bytearray(good), *bad])], "id long, media binary")
+    errors = {r["id"]: r["error"] for r in tiff_media.pages(df).collect()}
+    assert errors[0] is None and all(errors[i] for i in range(1, 5))
+    with pytest.raises(ValueError):
+        tiff_media.lzw_decode(bytes([0x80, 0x7F, 0xFF, 0xFF, 0xFF]))
+
+
+def test_columns_of_clashing_names(spark):
+    names = ["did", "th", "row", "text", "doc_id", "__score", "__n_words", "__spans", "__did", "times"]
+    w = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, 2, 3, t, i, 4, 5, 6, 7, 8) for i, t in enumerate([w, w + " x", None, ""])], ", ".join(f"`{n}` {'string' if n == 'text' else 'long'}" for n in names))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40, 60)))], "item_id long, text string")
+    for out in (pu_quality.keep_good(docs, labels), jaccard_join.keep_one(docs), suffix_dedup.clean(docs), decontaminate.clean(docs, bench)):
+        assert out.columns == names and out.select("`__score`").distinct().count() <= 1
+    assert jaccard_join.keep_one(docs).count() == 3
+    assert pu_quality.keep_good(docs.limit(0), labels).count() == 0 and decontaminate.clean(docs.limit(0), bench).count() == 0
+
+
+def test_empty_tables(spark, docs):
+    none, labels = docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert pu_quality.report(none, labels).count() == mil_toxicity.report(none, labels).count() == tiff_media.report(none).count() == 0
+    assert xent_scoring.report(none, labels).count() == trie_tokens.count_tokens(none, P.path("piece_bpe_32k.model")).count() == 0
+    assert decontaminate.report(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_parity_bitmaps_bound_the_difference():
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        n, m = (int(x) for x in r.integers(1, 400, 2))
+        common = int(r.integers(0, min(n, m) + 1))
+        pool = np.unique(r.integers(0, 1 << 63, n + m, dtype=np.uint64))[: n + m - common]
+        r.shuffle(pool)
+        x, y = pool[:n], np.concatenate([pool[:common], pool[n:]])
+        bits = jaccard_join.map_bits(jaccard_join.bitmap(x), jaccard_join.bitmap(y))
+        assert bits <= len(np.setxor1d(x, y))
+    sets = [np.unique(r.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(3)]
+    sets += [np.unique(np.concatenate([s[:190], r.integers(0, 1 << 63, 10 + 40 * i, dtype=np.uint64)])) for i, s in enumerate(sets)]
+    n, label, maps = np.array([len(s) for s in sets]), np.arange(6), tuple(map(jaccard_join.bitmap, sets))
+    some = jaccard_join.few_pairs(tuple(n.tolist()), tuple(label.tolist()), maps, (False,) * 6, (True,) * 6)
+    many = jaccard_join.close_pairs(n, label, maps, np.arange(6), np.ones(6, bool))
+    assert sorted(zip(*(x.tolist() for x in some))) == sorted(zip(*(x.tolist() for x in many))) and (0, 3) in set(zip(some[0].tolist(), some[1].tolist()))
+
+
+def test_jaccard_large_groups_are_split(docs, pairs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 2)
+    sets, component = brute_components(pairs)
+    want = Counter((d, len(s), c if s else d) for (d, _), s, c in zip(pairs, sets, component, strict=True))
+    assert Counter(tuple(r) for r in jaccard_join.report(docs, 1).collect()) == want

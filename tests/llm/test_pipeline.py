@@ -20,7 +20,7 @@ def test_stages(spark):
         if name == "near_duplicates":
             assert out.count() == jaccard_join.report(docs).select("component_id").distinct().count()
         if name == "repeated_passages":
-            assert out.count() == docs.count() and suffix_dedup.report(docs).where("n_removed = 0").join(docs, "doc_id").join(out.withColumnRenamed("text", "t"), "doc_id").where("text <> t").count() == 0
+            assert out.count() == docs.count() and suffix_dedup.report(docs).where("n_repeated = 0").join(docs, "doc_id").join(out.withColumnRenamed("text", "t"), "doc_id").where("text <> t").count() == 0
         if name == "benchmark_leaks":
             assert decontaminate.report(out, table(spark, DATA, "benchmark")).where("contaminated").count() == 0
         docs = out
