@@ -26,8 +26,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur elsewhere too."""
-    return suffix_dedup.clean(docs)
+    """Texts without the strings of 248 bytes (40 words or so) that occur elsewhere too: passages of 50 words are among them."""
+    return suffix_dedup.clean(docs, suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_K)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
