@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: Item words in one broadcast block (about 100 bytes each with their windows).
 BLOCK_WORDS = 1_000_000
@@ -104,6 +104,7 @@ def _match(docs: DataFrame, items: list[tuple[str | None, str]], n: int, keep: l
     held = docs.sparkSession.sparkContext.broadcast(items)
     spans_kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Windows(held.value, n)
         for b in batches:
@@ -169,6 +170,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_share: float =
     """
     names, at = docs.columns, docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words, spans, own = b.column("__n_words").to_pylist(), b.column("__spans").to_pylist(), b.column("row").flatten()

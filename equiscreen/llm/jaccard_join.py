@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_broadcast
+from .common import materialise, maybe_broadcast, tidy
 
 WORDS = 5
 #: A signature that more classes share is frequent.
@@ -186,6 +186,7 @@ def _index(docs: DataFrame, level: int, seed: int = 0) -> tuple[DataFrame, DataF
     spark = docs.sparkSession
     buckets = max(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, met = WordHashes(), set()
         lists = lambda cut, x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
@@ -223,6 +224,7 @@ def _index(docs: DataFrame, level: int, seed: int = 0) -> tuple[DataFrame, DataF
                 cut = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1, [len(p)]])
                 yield pa.RecordBatch.from_arrays([pa.array(p[cut[:-1]]), lists(cut, s), lists(cut, o), pa.nulls(len(cut) - 1, pa.binary())], names=["p", "sigs", "cls", "bitmap"])
 
+    @tidy
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["sig", "k", "pivot", "cls", "info", "bitmap"]
 
@@ -334,6 +336,7 @@ def compared(rows: DataFrame, labels: DataFrame, classes: DataFrame, closest: bo
     dealt = mixed.withColumn("own", F.pmod(F.hash("cls"), chunks)).withColumn("chunk", F.explode(F.when(top, F.array("own")).otherwise(F.sequence(F.lit(0), chunks - 1))))
     dealt = dealt.select("sig", "chunk", "cls", "label", "n", "bitmap", top.alias("top"), (F.col("own") == F.col("chunk")).alias("own"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
 
@@ -384,6 +387,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     ids = maybe_broadcast(materialise(ids, "verified"))
     texts = materialise(docs.select("did", "th", "text").join(ids, ["did", "th"]).groupBy("cls").agg(F.first("text").alias("text")), "verified-texts")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, left = None, frozenset()
         for b in batches:
@@ -462,6 +466,7 @@ def _stars(docs: DataFrame, classes: DataFrame, labels: DataFrame, rows: DataFra
     star = known.join(hubs, "sig").where("label <> `at`").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("v"), F.first("w").alias("w"))
     best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("v", "w", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = [map_bits(x, y) <= (n + m) // PER for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True)]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chosen_rows, id_crc
+from .common import chosen_rows, id_crc, tidy
 
 #: Bounds of the fit's sample.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 12_000
@@ -123,6 +123,7 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 600, rate: float = 0.1, ridge
 
 
 def _featurised(docs: DataFrame) -> np.ndarray:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t).tolist() for t in b.column("text").to_pylist()], pa.list_(pa.float32()))], names=["x"])
@@ -142,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, max_positive: int =
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row of ``docs`` and, last, its score, as __score."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 SPAN, K = 400, 128
 #: Bytes (a multiple of 8) of a string that the report also counts where it repeats, and that the corpus pipeline removes: 40 words or more.
@@ -197,6 +197,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, k: int = K, max_group: in
     """``texts``: did, th, raw (an id, a hash of the bytes, the bytes).  Gives did, th, spans: the maximal runs
     [a, b) of bytes to remove, for the texts that have any."""
 
+    @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(span, k)
         for whole in batches:
@@ -220,6 +221,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, k: int = K, max_group: in
     by_text = left.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "group", "n", "lo", "hi")).alias("of"))
     kind = "anchor long, group long, n long, did long, th long, lo long, bytes binary"
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -237,6 +239,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, k: int = K, max_group: in
     if hot:
         contexts = materialise(contexts, "context-bytes")
 
+    @tidy
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
         size = 0
@@ -274,6 +277,7 @@ def _hashed(contexts: DataFrame, span: int) -> DataFrame:
     """Repeated windows of anchors with very many contexts: windows are counted by a 128-bit hash."""
     kind = "h1 long, h2 long, n long, did long, th long, a long"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for n, did, th, lo, raw in zip(*(b.column(c).to_pylist() for c in ("n", "did", "th", "lo", "bytes")), strict=True):
@@ -345,6 +349,7 @@ def clean(docs: DataFrame, span: int = SPAN, k: int = K, max_group: int = MAX_GR
     names, at = docs.columns, docs.columns.index("text")
     joined = _joined(texts.select("row", "did", "th"), repeated_spans(texts.select("did", "th", "raw"), span, k, max_group))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = b.column("row").flatten()
