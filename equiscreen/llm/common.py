@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: 40 MB); larger ones take a shuffled join.
 BROADCAST_ROWS = 400_000
 
+#: Rows of a batch that a Python worker gets.
+BATCH = 2_000
+
 _own_dir: dict[str, str] = {}
 
 
@@ -58,6 +61,14 @@ def chosen_rows(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     return found.join(F.broadcast(keys), "key").groupBy("key").agg(F.first(F.struct("doc_id", "text")).alias("row")).select("row.*")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python workers in batches of ``BATCH`` rows where the session has Spark's setting of 10,000:
+    a batch is held several times over, by the JVM and by the worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(BATCH))
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A map over batches that gives its memory back to the system at its end: Python workers are used again, and what
     each task has held at most would stay with them."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import materialise, tidy
+from .common import materialise, small_batches, tidy
 
 #: Item words in one broadcast block (about 100 bytes each with their windows).
 BLOCK_WORDS = 1_000_000
@@ -101,6 +101,7 @@ FOUND = [StructField("__n_words", LongType()), StructField("__spans", SPANS), St
 
 def _match(docs: DataFrame, items: list[tuple[str | None, str]], n: int, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row of ``docs``, with the number of its words, spans of hit words [a, b), items."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(items)
     spans_kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 

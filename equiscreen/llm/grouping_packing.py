@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, tidy
+from .common import materialise, small_batches, tidy
 
 #: Parts into which the ranks of one length are split.
 SALTS = 64
@@ -104,6 +104,7 @@ class Memo(dict):
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = CAPACITY, end: int = 2) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row of ``docs``."""
+    small_batches(docs.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_broadcast, tidy
+from .common import materialise, maybe_broadcast, small_batches, tidy
 
 WORDS = 5
 #: A signature that more classes share is frequent.
@@ -72,7 +72,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Small numbers for words, and each one's 64-bit hash at that place of ``table``."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self):
         super().__init__()
@@ -209,7 +209,7 @@ def _index(docs: DataFrame, level: int, seed: int = 0) -> tuple[DataFrame, DataF
                         sigs.append(s)
                         owners.append(np.full(len(s), cls))
                         info.append((bits, len(sh), h, usable, cls))
-                if len(met) > 400_000:
+                if len(met) > 200_000:
                     met.clear()
                 for kind, extra in ((rows, maps), (info, [None] * len(info))):  # these have numbers below 0 and only pass through
                     if kind:
@@ -513,6 +513,7 @@ def _round(docs: DataFrame, classes: DataFrame, labels: DataFrame, shared: DataF
 
 def cluster(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     """did, th, n, component, label for every row of ``docs`` (doc_id, text): component is its least doc_id, label one of its classes."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("did"), "text").withColumn("th", F.xxhash64("text"))
     for seed in range(64):
         shared, info, of = _index(docs, 0, seed)

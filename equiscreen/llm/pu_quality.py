@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chosen_rows, id_crc, tidy
+from .common import chosen_rows, id_crc, small_batches, tidy
 
 #: Bounds of the fit's sample.
 MAX_POSITIVE, MAX_UNLABELLED = 8_000, 12_000
@@ -134,6 +134,7 @@ def _featurised(docs: DataFrame) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, fold: Column, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """``fold``: which ids may be learned from."""
+    small_batches(docs.sparkSession)
     pick = F.xxhash64(F.lit("pu"), "doc_id")
     good = labels.groupBy("doc_id").agg(F.avg("quality").alias("q")).where(fold & F.col("doc_id").isNotNull() & (F.col("q") >= 0.5)).orderBy(pick).limit(max_positive).select("doc_id")
     web = docs.select("doc_id").where(fold & F.col("doc_id").isNotNull()).orderBy(pick).limit(max_unlabelled).distinct()

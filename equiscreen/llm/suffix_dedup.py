@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, tidy
+from .common import materialise, small_batches, tidy
 
 SPAN, K = 400, 128
 #: Bytes (a multiple of 8) of a string that the report also counts where it repeats, and that the corpus pipeline removes: 40 words or more.
@@ -211,6 +211,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, k: int = K, max_group: in
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["did", "th", "anchor", "context", "lo", "hi"])
 
+    small_batches(texts.sparkSession)
     long = texts.where(F.octet_length("raw") >= span)
     found = materialise(long.mapInArrow(scan, "did long, th long, anchor long, context long, lo long, hi long"), "anchors")
     kinds = materialise(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "lo", "hi")).alias("one")), "contexts")
