@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
@@ -166,8 +166,30 @@ def tri_state(c: Column | str) -> Column:
 
 
 def two_state(c: Column | str) -> Column:
-    """false where it is not true."""
-    return F.coalesce(tri_state(c), F.lit(False))
+    """true for the four plain words only."""
+    return F.lower(text(c)).isin("true", "1", "yes", "y")
+
+
+def special_state(c: Column | str) -> Column:
+    """true for what marks a special case."""
+    return F.lower(text(c)).isin("true", "1", "yes", "y", "si", "sí", "special", "especial")
+
+
+def region(country: Column | str) -> Column:
+    """F15."""
+    return F.when(F.upper(text(country)).isin("USA", "US", "UNITED STATES", "UNITED STATES OF AMERICA", "CANADA", "CA"), F.lit("North America")).otherwise(F.lit("Unknown"))
+
+
+def isin_country(isin: Column | str) -> Column:
+    """the prefix of two letters."""
+    return F.substring(F.upper(text(isin)), 1, 2)
+
+
+def derived_ratios(df: DataFrame) -> DataFrame:
+    """net debt, free cash flow margin and net debt to EBITDA where they are missing and can be had."""
+    out = df.withColumn("net_debt", F.coalesce(real("net_debt"), real("total_debt") - real("cash")))
+    ratio = lambda x, y: F.when(real(y) != 0, real(x) / real(y))
+    return out.withColumns({"fcf_margin": F.coalesce(real("fcf_margin"), ratio("free_cash_flow", "revenue_ttm")), "net_debt_to_ebitda": F.coalesce(real("net_debt_to_ebitda"), ratio("net_debt", "ebitda"))})
 
 
 def local_code(c: Column | str) -> Column:

@@ -56,11 +56,12 @@ def rolling_metrics(history: DataFrame, key: str = "ticker", date: str = "date",
 
 def adapter_metrics(history: DataFrame, key: str = "ticker", date: str = "date", close: str = "close", volume: str = "volume") -> DataFrame:
     """One-month metrics in percent; where a bar is too far back the first one counts."""
-    newest = Window.partitionBy(key).orderBy(F.col(date).desc(), F.col(close))
-    bars = history.where(X.real(close).isNotNull()).select(key, X.real(close).alias("c"), X.real(volume).alias("v"), F.row_number().over(newest).alias("n"))
+    apart = lambda c: Window.partitionBy(key, F.isnull(c)).orderBy(F.col(date).desc(), F.col(close))
+    values = history.select(key, date, close, X.real(close).alias("c"), X.real(volume).alias("v"))
+    bars = values.withColumns({"n": F.when(F.col("c").isNotNull(), F.row_number().over(apart("c"))), "m": F.when(F.col("v").isNotNull(), F.row_number().over(apart("v")))})
     nth = lambda n: F.max(F.when(F.col("n") == n, F.col("c")))
     first = F.max_by("c", "n")
-    m = bars.groupBy(key).agg(nth(1).alias("last"), nth(2).alias("prev"), F.coalesce(nth(6), first).alias("c5"), F.coalesce(nth(21), first).alias("c20"), F.max(F.when(F.col("n") == 1, F.col("v"))).alias("volume"), F.avg(F.when(F.col("n") <= 20, F.col("v"))).alias("a"))
+    m = bars.groupBy(key).agg(nth(1).alias("last"), nth(2).alias("prev"), F.coalesce(nth(6), first).alias("c5"), F.coalesce(nth(21), first).alias("c20"), F.max(F.when(F.col("m") == 1, F.col("v"))).alias("volume"), F.avg(F.when(F.col("m") <= 20, F.col("v"))).alias("a"))
     average = X.rounded(F.col("a"))
     return m.select(key, X.rounded(F.col("last"), 4).alias("regular_market_price"), X.rounded(F.col("prev"), 4).alias("previous_close"), "volume", average.alias("average_volume"), F.when(average != 0, X.rounded(F.col("volume") / average)).alias("relative_volume"),
                     *[X.percent_change(F.col(c), F.col("last")).alias(n) for c, n in (("prev", "change_1d"), ("c5", "change_5d"), ("c20", "change_20d"))])

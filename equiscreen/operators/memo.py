@@ -185,12 +185,31 @@ def validate_fundamentals(df: DataFrame, universe: DataFrame, order: str = "inpu
     return rows.withColumn("valid", ~F.exists("issues", lambda i: i["level"] == "ERROR"))
 
 
-def validate_market_rows(df: DataFrame) -> DataFrame:
-    """Numeric fields and percentages beyond 100."""
-    cases = [(X.is_blank("ticker"), "ERROR", "ticker", "Empty ticker")]
-    cases += [(~X.is_blank(c) & X.number(c).isNull(), "ERROR", c, "Non numeric") for c in ("price", "market_cap", "volume", "average_volume", "change_1d_pct", "change_5d_pct", "change_20d_pct")]
-    cases += [(F.abs(X.number(c)) > 100, "WARNING", c, "Suspicious percentage") for c in ("change_1d_pct", "change_5d_pct", "change_20d_pct")]
-    return df.withColumn("issues", issues(*cases))
+MARKET_COLUMNS, PERCENTS, LEGACY_PERCENTS = ("ticker", "price", "market_cap", "volume", "average_volume", "currency", "as_of"), ("change_1d_pct", "change_5d_pct", "change_20d_pct"), ("change_1d", "change_5d", "change_20d")
+
+
+def market_file_issues(columns: list[str]) -> list[tuple[str, str]]:
+    """What is wrong with the columns of a file, as (level, message); rows are looked at only if nothing is."""
+    out = [("ERROR", f"Missing base columns: {missing}")] if (missing := [c for c in MARKET_COLUMNS if c not in columns]) else []
+    if not set(PERCENTS) <= set(columns) and not set(LEGACY_PERCENTS) <= set(columns):
+        out.append(("ERROR", "Missing percent columns. Use change_1d_pct/change_5d_pct/change_20d_pct."))
+    return out
+
+
+def validate_market_rows(df: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """``df`` with issues: numeric fields, percentages beyond 100, repeated tickers; a row without a ticker has no other."""
+    from pyspark.sql import Window
+
+    t, named = X.ticker("ticker"), ~X.is_blank("ticker")
+    seen = F.row_number().over(Window.partitionBy(F.when(named, t).otherwise(F.concat(F.lit(" "), F.col(order).cast("string")))).orderBy(order)) > 1
+    cases = [(~named, "ERROR", "ticker", "Empty ticker"), (named & F.col("__seen"), "WARNING", "ticker", "Duplicate ticker")]
+    cases += [(named & ~X.is_blank(c) & X.number(c).isNull(), "ERROR", c, "Non numeric") for c in ("price", "market_cap", "volume", "average_volume")]
+    for new, old in zip(PERCENTS, LEGACY_PERCENTS, strict=True):
+        c = new if new in df.columns else old
+        cases += [(named & ~X.is_blank(c) & X.number(c).isNull(), "ERROR", new, "Non numeric"), (named & (F.abs(X.number(c)) > 100), "WARNING", new, "Suspicious percentage")]
+    if set(LEGACY_PERCENTS) <= set(df.columns) and not set(PERCENTS) <= set(df.columns):
+        cases.append((named, "WARNING", "change_1d", "Legacy change columns detected"))
+    return df.withColumn("__seen", seen).withColumn("issues", issues(*cases)).drop("__seen")
 
 
 def validate_listing(df: DataFrame, vocabulary: dict[str, list[str]], required: list[str]) -> DataFrame:
@@ -207,12 +226,15 @@ def issue_rows(df: DataFrame, key: str = "ticker") -> DataFrame:
     return df.select(key, F.explode("issues").alias("i")).select(key, "i.level", "i.field", "i.message")
 
 
-def special_case_inference(quote_type: Column, sector: Column, symbol: Column) -> Column:
+def special_case_inference(ticker: Column | str, quote_type: Column | str, asset_type: Column | str, sector: Column | str, industry: Column | str, country: Column | str) -> Column:
     """C19."""
-    found = F.concat_ws("|", F.when(F.upper(X.text(sector)).contains("REIT"), F.lit("reit")), F.when(~F.upper(X.text(quote_type)).isin("EQUITY", ""), F.lit("non_equity_quote_type")), F.when((F.length(X.text(symbol)) == 5) & X.text(symbol).endswith("Y"), F.lit("foreign_otc_adr")))
+    quote, place = F.upper(X.text(quote_type)), X.col(country).cast("string")
+    reit = F.upper(X.text(asset_type)).contains("REIT") | F.lower(X.text(sector)).contains("reit") | F.lower(X.text(industry)).contains("reit")
+    abroad = X.text(ticker).endswith("Y") & F.coalesce(~place.isin("United States", "USA", "US"), F.lit(False))
+    found = F.concat_ws("|", F.when(reit, F.lit("REIT")), F.when(~quote.isin("EQUITY", "ADR", ""), F.concat(F.lit("QUOTE_TYPE_"), quote)), F.when(abroad, F.lit("POSSIBLE_ADR")))
     return F.when(found == "", F.lit("none")).otherwise(found)
 
 
 def prudence_warning(category: Column, confidence: Column, evidence: Column, limitations: Column) -> Column:
     """C25."""
-    return F.lower(X.text(category)).contains("insufficient") | F.coalesce(confidence < 4, F.lit(False)) | F.coalesce(evidence < 4, F.lit(False)) | F.coalesce(limitations >= 5, F.lit(False))
+    return F.lower(X.text(category)).contains("datos insuficientes") | F.coalesce(confidence < 4, F.lit(False)) | F.coalesce(evidence < 4, F.lit(False)) | F.coalesce(limitations >= 5, F.lit(False))

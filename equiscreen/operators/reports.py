@@ -85,10 +85,10 @@ def provider_breakdown(df: DataFrame, c: str = "source_provider", blank: str = "
 
 
 def expected_vs_actual(counts: DataFrame, expected: DataFrame, key: str) -> DataFrame:
-    """Both have ``count``; status OK, MISMATCH, MISSING or UNEXPECTED."""
+    """Both have ``count``; status OK, MISMATCH (also where nothing is there) or UNEXPECTED_PROVIDER."""
     both = counts.withColumnRenamed("count", "actual").join(expected.withColumnRenamed("count", "expected"), key, "full_outer")
-    status = first_of([("UNEXPECTED", F.col("expected").isNull()), ("MISSING", F.col("actual").isNull()), ("OK", F.col("actual") == F.col("expected"))], "MISMATCH")
-    return both.withColumn("status", status)
+    status = first_of([("UNEXPECTED_PROVIDER", F.col("expected").isNull()), ("OK", F.col("actual") == F.col("expected"))], "MISMATCH")
+    return both.withColumn("status", status).fillna(0, ["actual", "expected"])
 
 
 def integrity_checks(df: DataFrame, keys: tuple[str, str], required: list[str], expected_rows: int | None = None) -> DataFrame:
@@ -176,6 +176,7 @@ def bucketed(df: DataFrame) -> DataFrame:
     return df.withColumns({"market_cap_bucket": X.bucket(X.real("market_cap"), cap, ">50B"), "price_bucket": X.bucket(X.real("price"), price, ">100"), "dollar_volume_bucket": X.bucket(X.real("dollar_volume_90d"), volume, ">100M")})
 
 
-def history_summary(df: DataFrame, key: str, confidence: str, risk: str) -> DataFrame:
-    """A33."""
-    return df.agg(F.count_distinct(F.col(key)).alias("companies"), F.avg(confidence).alias("mean_confidence"), F.avg(risk).alias("mean_risk"))
+def history_summary(df: DataFrame, category: str, confidence: str, risk: str) -> DataFrame:
+    """Rows, means, and rows whose category says high quality or too little data."""
+    has = lambda words: F.count_if(F.coalesce(F.col(category), F.lit("")).contains(words))
+    return df.agg(F.count(F.lit(1)).alias("companies"), F.avg(confidence).alias("avg_confidence"), F.avg(risk).alias("avg_risk"), has("Alta calidad").alias("high_quality_count"), has("Datos insuficientes").alias("insufficient_data_count"))

@@ -252,18 +252,22 @@ def scenario_rank(df: DataFrame) -> DataFrame:
 
 
 #: Fixed values of the metadata score.
-MAJOR = ("NASDAQ", "NYSE", "AMEX", "ARCA", "LSE", "EURONEXT", "XETRA", "TSX", "HKEX", "TSE")
-DEVELOPED = ("USA", "US", "UNITED STATES", "UK", "UNITED KINGDOM", "GERMANY", "FRANCE", "NETHERLANDS", "JAPAN", "CANADA", "SWITZERLAND", "AUSTRALIA")
+#: What counts as a major exchange, a developed market and a sector of high signal.
+MAJOR = ("NASDAQ", "NYSE", "LSE", "XETRA", "EPA", "TSE", "AMS", "BME", "SWX", "HKEX")
+DEVELOPED = ("US", "CA", "GB", "UK", "NL", "DE", "FR", "ES", "IT", "CH", "SE", "DK", "NO", "FI", "JP", "AU", "IE")
+HIGH_SIGNAL = ("Technology", "Healthcare", "Industrials", "Financial Services", "Consumer Defensive", "Communication Services", "Semiconductors")
 
 
-def metadata_score(df: DataFrame, position: str, major: tuple = MAJOR, developed: tuple = DEVELOPED, sectors: tuple = ()) -> DataFrame:
-    """The score of listing metadata; ``position`` is that of the row among the deduplicated, from 1."""
-    fields = ("ticker", "name", "exchange", "country", "sector", "industry")
-    complete = X.rounded(100.0 * _add(*[_if(X.text(c) != "", 1) for c in fields]) / 6.0)
+def metadata_score(df: DataFrame, position: str, major: tuple = MAJOR, developed: tuple = DEVELOPED, sectors: tuple = HIGH_SIGNAL) -> DataFrame:
+    """The score of listing metadata and its category; ``position`` is that of the row among the deduplicated, from 1."""
+    there = [X.text(c) != "" for c in ("ticker", "exchange", "country", "sector", "industry")] + [(X.text("name") != "") | (X.text("ticker") != "")]
+    complete = X.rounded(100.0 * _add(*[_if(c, 1) for c in there]) / 6.0)
     known = lambda c, good, hit, miss: F.when(c.isin(*good) if good else F.lit(False), hit).when(c != "", miss).otherwise(20.0)
     score = _add(0.35 * complete, 0.20 * known(F.upper(X.text("exchange")), major, 100.0, 60.0), 0.20 * known(F.upper(X.text("country")), developed, 100.0, 60.0), 0.15 * known(X.text("sector"), sectors, 85.0, 65.0),
                  0.05 * _if(X.text("industry") != "", 80, 20), 0.05 * F.greatest(F.lit(40.0), 100.0 - (F.col(position) - 1) * 2.0))
-    return df.withColumns({"metadata_completeness_score": complete, "metadata_score": X.rounded(score)})
+    out = df.withColumns({"metadata_completeness_score": complete, "metadata_score": X.rounded(score)})
+    s = F.col("metadata_score")
+    return out.withColumn("metadata_category", F.when(s >= 85, F.lit("metadata_high")).when(s >= 65, F.lit("metadata_medium")).otherwise(F.lit("metadata_low")))
 
 
 def order_score(position: Column) -> Column:
@@ -281,7 +285,8 @@ def adapter_score(position: Column) -> Column:
 def completeness(fields: list[str], partial: dict[str, float] | None = None) -> Column:
     """Percent of ``fields`` that are there; those of ``partial`` count so much."""
     weight = lambda c: (partial or {}).get(c, 1.0)
-    return X.rounded(_add(*[_if(F.col(c).isNotNull(), weight(c)) for c in fields]) / sum(map(weight, fields)) * 100.0)
+    there = lambda c: F.coalesce(~F.col(c).cast("string").isin("", "None"), F.lit(False))
+    return X.rounded(100.0 * _add(*[_if(there(c), weight(c)) for c in fields]) / sum(map(weight, fields)))
 
 
 def readiness(blockers: Column, warnings: Column, per_blocker: float = 20.0, per_warning: float = 5.0) -> Column:

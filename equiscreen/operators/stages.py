@@ -48,7 +48,7 @@ def stage1(df: DataFrame, policy: Stage1Policy = STAGE1) -> DataFrame:
 
 def special_case(p: Stage2Policy = STAGE2) -> Column:
     """C3."""
-    return X.two_state("special_case") | F.lower(X.text("sector")).isin(*p.special_sectors) | F.lower(X.text("industry")).isin(*p.special_sectors)
+    return X.special_state("special_case") | F.lower(X.text("sector")).isin(*p.special_sectors) | F.lower(X.text("industry")).isin(*p.special_sectors)
 
 
 def growth_exception(p: Stage2Policy = STAGE2) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,15 +91,23 @@ def xetra_taxonomy(kind: Column, group: Column) -> Column:
     return out.otherwise(made("manual_review_unknown_type", F.lit("unmapped_taxonomy")))
 
 
-#: Regular expressions over the joined type columns; the first that matches says what it is not.
-NON_EQUITY = [("etf", r"\bETFS?\b"), ("etn", r"\bETNS?\b"), ("etc", r"\bETCS?\b"), ("fund", r"\bFUNDS?\b|\bFONDS?\b"), ("bond", r"\bBONDS?\b|\bANLEIHEN?\b"), ("warrant", r"\bWARRANTS?\b"), ("certificate", r"\bCERTIFICATES?\b|\bZERTIFIKATE?\b"), ("right", r"\bRIGHTS?\b")]
-EQUITY = r"\bCS\b|\bSTOCKS?\b|\bSHARES?\b|\bEQUIT(Y|IES)\b|\bAKTIEN?\b"
+#: C12, C33, fixed values: regular expressions over the joined type columns; the first that matches says what it is not.
+NON_EQUITY = [
+    ("etf", r"\betf\b|exchange traded fund|active etf"), ("etn", r"\betn\b|exchange traded note"), ("etc", r"\betc\b|exchange traded commodit"), ("etp", r"\betp\b|exchange traded product"),
+    ("fund", r"\bfund\b|\bfonds\b|investment fund|mutual fund"), ("bond", r"\bbond\b|\banleihe\b|fixed income|debt"), ("certificate", r"certificate|zertifikat|certificat"), ("warrant", r"warrant|optionsschein"),
+    ("derivative", r"future|option|derivative|swap"), ("commodity", r"commodity|rohstoff"), ("crypto", r"crypto|bitcoin|ethereum"), ("index", r"\bindex\b|indice"),
+    ("reit", r"\breit\b|real estate investment trust"), ("rights_or_units", r"subscription right|rights issue|\bright\b|\bunit\b"), ("depositary_receipt", r"depositary receipt|\badr\b|\bgdr\b"),
+]
+#: Words of which one must be there.
+EQUITY = r"\bequity\b|\bequities\b|\bshare\b|\bshares\b|\bstock\b|\bstocks\b|\bcommon\b|\bordinary\b|\bregistered shares?\b|\bbearer shares?\b|\baktie\b|\baktien\b|\bstammaktie\b|\bvorzugsaktie\b|\binhaber-?aktien\b|\bnamens-?aktien\b"
 
 
-def regex_taxonomy(*cols: Column) -> Column:
-    """C12, C33."""
-    joined = F.upper(F.concat_ws(" | ", *cols))
-    return F.when(F.lit(False), F.lit("")).when(X.first_match(joined, NON_EQUITY, "") != "", F.concat(F.lit("non_equity_"), X.first_match(joined, NON_EQUITY, ""))).when(joined.rlike(EQUITY), F.lit("equity_like")).otherwise(F.lit("review"))
+def regex_taxonomy(*cols: Column | str) -> Column:
+    """struct(class, reason) by group, type and name."""
+    joined = F.lower(F.concat_ws(" | ", *map(X.text, cols)))
+    reason = X.first_match(joined, NON_EQUITY, "")
+    made = lambda c, r: F.struct(F.lit(c).alias("class"), r.alias("reason"))
+    return F.when(reason != "", made("excluded_non_common_equity", reason)).when(joined.rlike(EQUITY), made("equity_like_candidate", F.lit("equity_pattern"))).otherwise(made("manual_review_unknown_type", F.lit("insufficient_type_signal")))
 
 
 HKEX_ALLOWED = ("Equity Securities (Main Board)", "Equity Securities (GEM)", "Investment Companies", "Trading Only Securities")
@@ -202,40 +209,42 @@ def cboe_europe_decisions(df: DataFrame, baseline: DataFrame, order: str = "inpu
 def greedy_two_keys(df: DataFrame, a: str, b: str, order: str = "input_ordinal") -> DataFrame:
     """``df`` with accepted: no earlier accepted row has the same ``a`` or the same ``b``.
 
-    Rows whose two keys pair one to one need only a window.  Others are grouped by connected keys, by moving labels
-    along shared keys until none changes, and taken in order in one task a component; equal (a, b) pairs but the first are
-    settled before, so a component has distinct pairs only.
+    In rounds: a pair that is the earliest left under both of its keys is accepted, and pairs that share a key with an
+    accepted one leave.  Every round settles the earliest pair of each group of keys, by two aggregates and two anti-joins,
+    so no group of keys is one task's.
     """
-    pair = Window.partitionBy(a, b).orderBy(order)
-    rows = df.withColumn("__first", F.row_number().over(pair) == 1)
-    pairs = rows.where("__first").select(a, b, order)
-    many = lambda k, other: pairs.groupBy(k).agg(F.count(other).alias("__n")).where("__n > 1").select(k)
-    clash = pairs.join(many(a, b), a, "left_semi").select(a, b, order).union(pairs.join(many(b, a), b, "left_semi").select(a, b, order)).distinct()
-    label = pairs.join(clash.select(a, b), [a, b], "left_semi").withColumn("__c", F.col(order))
-    label = label.unionByName(pairs.join(clash.select(a).distinct(), a, "left_semi").join(clash.select(a, b), [a, b], "left_anti").withColumn("__c", F.col(order)))
-    label = label.unionByName(pairs.join(clash.select(b).distinct(), b, "left_semi").join(label.select(a, b), [a, b], "left_anti").withColumn("__c", F.col(order)))
-    while True:  # as many rounds as the longest chain of shared keys
-        label = label.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else label.persist()
-        least = label.withColumn("__m", F.least(F.min("__c").over(Window.partitionBy(a)), F.min("__c").over(Window.partitionBy(b))))
-        if least.where("__m < __c").isEmpty():
+    rest = df.groupBy(a, b).agg(F.min(order).alias(order))
+    done: DataFrame | None = None
+    while True:
+        rest = _settled(rest)
+        if rest.isEmpty():
             break
-        label = least.select(a, b, order, F.col("__m").alias("__c"))
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen_a, seen_b, ok = set(), set(), []
-        pdf = pdf.sort_values(order)
-        for x, y in zip(pdf[a], pdf[b], strict=True):
-            good = x not in seen_a and y not in seen_b
-            ok.append(good)
-            if good:
-                seen_a.add(x)
-                seen_b.add(y)
-        return pdf[[order]].assign(__ok=ok)
-
-    kind = df.schema[order].dataType.simpleString()
-    settled = label.groupBy("__c").applyInPandas(take, f"`{order}` {kind}, __ok boolean")
-    out = rows.join(settled, order, "left")
-    return out.withColumn("accepted", F.col("__first") & F.coalesce(F.col("__ok"), F.lit(True))).drop("__first", "__ok")
+        first = lambda k: rest.groupBy(k).agg(F.min(order).alias(f"__{k}"))  # noqa: E731, B023
+        now = _settled(rest.join(first(a), a).join(first(b), b).where((F.col(order) == F.col(f"__{a}")) & (F.col(order) == F.col(f"__{b}"))).select(a, b, order))
+        rest = rest.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti").select(a, b, order)
+        done = now if done is None else done.unionByName(now)
+    none = df.withColumn("accepted", F.lit(False))
+    return none if done is None else df.join(done.select(order, F.lit(True).alias("accepted")), order, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows with a short lineage: checkpointed where the session has a folder for it, cached where it has none."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def xetra_decisions(df: DataFrame, baseline: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """C17: ``df`` (instrument_type, isin, ticker) with exclusion_reason, empty for accepted rows."""
+    kind, isin, ticker = F.upper(X.text("instrument_type")), F.upper(X.text("isin")), F.upper(X.text("ticker"))
+    rows = df.withColumns({"__isin": isin, "__key": F.when(ticker != "", F.concat(F.lit("XETR|"), ticker)).otherwise(F.lit(""))})
+    rows = rows.join(baseline.select(F.upper(X.text("isin")).alias("__isin")).where("__isin <> ''").distinct().withColumn("__bi", F.lit(True)), "__isin", "left")
+    rows = rows.join(baseline.select(F.concat_ws("|", F.upper(X.text("exchange")), F.upper(X.text("ticker"))).alias("__key")).distinct().withColumn("__bk", F.lit(True)), "__key", "left")
+    early = F.when(kind != "CS", F.concat(F.lit("excluded_non_common_equity_instrument_type_"), F.when(kind == "", F.lit("blank")).otherwise(kind))).when(isin == "", F.lit("missing_isin")).when(ticker == "", F.lit("missing_ticker"))
+    early = early.when(F.col("__bi"), F.lit("already_in_baseline_by_isin")).when(F.col("__bk"), F.lit("already_in_baseline_by_exchange_ticker")).otherwise(F.lit(""))
+    rows = rows.withColumn("__early", early)
+    taken = greedy_two_keys(rows.where("__early = ''").select("__isin", "__key", order), "__isin", "__key", order).where("accepted")
+    rows = rows.join(taken.select(order, F.lit(True).alias("__ok")), order, "left").join(taken.select("__isin", F.col(order).alias("__by")), "__isin", "left")
+    late = F.when(F.col("__ok"), F.lit("")).when(F.col("__by") < F.col(order), F.lit("duplicate_within_xetra_by_isin")).otherwise(F.lit("duplicate_within_xetra_by_exchange_ticker"))
+    return rows.withColumn("exclusion_reason", F.when(F.col("__early") != "", F.col("__early")).otherwise(late)).drop("__isin", "__key", "__bi", "__bk", "__early", "__ok", "__by")
 
 
 def union_widened(baseline: DataFrame, additions: DataFrame) -> DataFrame:
@@ -266,7 +275,7 @@ def clean_universe(df: DataFrame, order: str = "input_ordinal") -> DataFrame:
 def listing_filter(df: DataFrame, symbol: str = "symbol", etf: str = "etf", test: str = "test_issue", etfs: bool = False, tests: bool = False) -> DataFrame:
     """Without ETFs, test issues, odd symbols and the directory's footer."""
     flag = lambda c: F.upper(X.text(c)) == "Y"
-    out = df.where((X.text(symbol) != "") & ~X.text(symbol).rlike(r"[$^/]") & ~F.lower(X.text(symbol)).startswith("file creation time"))
+    out = df.where((X.text(symbol) != "") & ~X.text(symbol).rlike(r"[$^/]") & ~F.lower(X.text(symbol)).contains("file creation time"))
     out = out if etfs else out.where(~flag(etf))
     return out if tests else out.where(~flag(test))
 
@@ -278,4 +287,4 @@ def looks_like_ticker(c: Column) -> Column:
 
 #: One-letter exchange codes of the pipe directory.
 EXCHANGE_CODES = {"A": "NYSE American", "N": "NYSE", "P": "NYSE Arca", "Z": "Cboe BZX", "V": "IEX"}
-EXCHANGE_CODES_SHORT = {"A": "AMEX", "N": "NYSE", "P": "ARCA", "Z": "BATS", "V": "IEX"}
+EXCHANGE_CODES_SHORT = {"A": "AMEX", "N": "NYSE", "P": "ARCA", "Z": "BATS", "V": "IEXG"}

@@ -106,7 +106,8 @@ def with_red_flags(memos: DataFrame, summary: DataFrame, key: str = "ticker") ->
     return out.withColumns({"red_flag_count": F.coalesce("red_flag_count", F.lit(0).cast("long")), "max_severity": F.coalesce("max_severity", F.lit("LOW")), "has_high_or_critical": F.coalesce("has_high_or_critical", F.lit(False))})
 
 
-REVIEW_STATES = ("pending_review", "in_progress", "done", "rejected")
+#: Fixed values.
+REVIEW_STATES = ("pending_review", "reviewed_watchlist", "reviewed_reject", "needs_more_data")
 
 
 def review_queue(memos: DataFrame, reviews: DataFrame, key: str = "ticker") -> DataFrame:

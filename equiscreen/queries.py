@@ -587,7 +587,7 @@ def provider_breakdown(spark: SparkSession, d: str) -> DataFrame:
     return reports.provider_breakdown(B.frame(spark, d, B.CANDIDATES))
 
 
-@query(f"select coalesce(a.exchange, e.exchange) as exchange, a.count as actual, e.count as expected, case when e.count is null then 'UNEXPECTED' when a.count is null then 'MISSING' when a.count = e.count then 'OK' else 'MISMATCH' end as status from (select exchange, count(*) as count from ({B.CANDIDATES}) c group by 1) a full outer join (select exchange, count(*) as count from ({B.BASELINE}) b group by 1) e on a.exchange = e.exchange")
+@query(f"select coalesce(a.exchange, e.exchange) as exchange, coalesce(a.count, 0) as actual, coalesce(e.count, 0) as expected, case when e.count is null then 'UNEXPECTED_PROVIDER' when a.count = e.count then 'OK' else 'MISMATCH' end as status from (select exchange, count(*) as count from ({B.CANDIDATES}) c group by 1) a full outer join (select exchange, count(*) as count from ({B.BASELINE}) b group by 1) e on a.exchange = e.exchange")
 def expected_vs_actual(spark: SparkSession, d: str) -> DataFrame:
     """A22."""
     count = lambda sql: reports.group_counts(B.frame(spark, d, sql), "exchange")
@@ -847,3 +847,6 @@ def ranked_customers(spark: SparkSession, d: str) -> DataFrame:
     counts = df.groupBy("o_custkey").agg(F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("done"), F.count(F.lit(1)).alias("n"))
     best = views.top(counts, 100, F.desc("n"), key="o_custkey")
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "o_custkey"))).drop("n")
+
+
+from . import rule_queries  # noqa: E402, F401  it registers its queries here

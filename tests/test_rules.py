@@ -141,3 +141,31 @@ def test_views(spark):
     assert {r["k"]: r["delta"] for r in views.first_last(df, "k", "v", "v").collect()} == {"a": 20, "b": None}
     got = views.resolve(df.withColumnRenamed("k", "Ticker Symbol"), {"ticker": ["symbol"], "none": ["zzz"]}, fuzzy=True)
     assert got.columns == ["ticker", "none"] and got.where("ticker = 'a'").count() == 3
+
+
+def test_xetra_cascade_and_greedy_keys_equal_the_loop(spark):
+    import random
+
+    from equiscreen.operators import universe
+
+    r = random.Random(4)
+    rows = [(i, r.choice(["CS", "CS", "CS", "cs ", "ETF", ""]), r.choice(["", *(f"I{k}" for k in range(25))]), r.choice(["", *(f"T{k}" for k in range(25))])) for i in range(300)]
+    base = [("XETR", f"T{k}", f"I{30 + k}") for k in range(4)] + [("LSE", "T9", "I1")]
+    isins, keys, seen_i, seen_k, want = {b[2] for b in base}, {f"{b[0]}|{b[1]}" for b in base}, set(), set(), {}
+    for i, kind, isin, ticker in rows:
+        kind, key = kind.strip().upper(), f"XETR|{ticker}"
+        if kind != "CS":
+            want[i] = f"excluded_non_common_equity_instrument_type_{kind or 'blank'}"
+        elif not isin or not ticker:
+            want[i] = "missing_isin" if not isin else "missing_ticker"
+        elif isin in isins or key in keys:
+            want[i] = "already_in_baseline_by_isin" if isin in isins else "already_in_baseline_by_exchange_ticker"
+        elif isin in seen_i or key in seen_k:
+            want[i] = "duplicate_within_xetra_by_isin" if isin in seen_i else "duplicate_within_xetra_by_exchange_ticker"
+        else:
+            want[i] = ""
+            seen_i.add(isin)
+            seen_k.add(key)
+    df = spark.createDataFrame(rows, "input_ordinal long, instrument_type string, isin string, ticker string")
+    got = universe.xetra_decisions(df, spark.createDataFrame(base, "exchange string, ticker string, isin string"))
+    assert {x["input_ordinal"]: x["exclusion_reason"] for x in got.collect()} == want
