@@ -40,8 +40,9 @@ SPAN, K = 400, 128
 PASSAGE, PASSAGE_K = 248, 96
 #: Contexts of one anchor that are sorted in one task, bytes that are sorted at once, and windows hashed at once.
 MAX_GROUP, BLOCK, CHUNK = 4096, 1 << 19, 1 << 20
-#: Rows of a side that may be broadcast: contexts (about 60 bytes) or repeated spans; 40 MB at most once hashed.
-SMALL_SIDE = 400_000
+#: Rows of a side that may be broadcast: contexts (about 60 bytes) or repeated spans; 120 MB at most once hashed.  Beyond
+#: it the texts are shuffled to them, which costs about the input's size of disk.
+SMALL_SIDE = 2_000_000
 _ONE = np.uint64(1)
 
 
