@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 #: 40 MB); larger ones take a shuffled join.
 BROADCAST_ROWS = 400_000
 
-#: Rows of a batch that a Python worker gets.
-BATCH = 2_000
+#: Rows and bytes of a batch that a Python worker gets.
+BATCH, BATCH_BYTES = 500, 4 << 20
 
 _own_dir: dict[str, str] = {}
 
@@ -62,11 +62,12 @@ def chosen_rows(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts travel to Python workers in batches of ``BATCH`` rows where the session has Spark's setting of 10,000:
-    a batch is held several times over, by the JVM and by the worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) == 10_000:
-        spark.conf.set(name, str(BATCH))
+    """Whole texts travel to Python workers in batches of ``BATCH`` rows and about ``BATCH_BYTES`` bytes where the session
+    has Spark's own settings: a batch is held several times over, by the JVM and by the worker."""
+    for name, most, usual in (("maxRecordsPerBatch", BATCH, 10_000), ("maxBytesPerBatch", BATCH_BYTES, 64 << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if int(spark.conf.get(name).rstrip("b")) == usual:
+            spark.conf.set(name, str(most))
 
 
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

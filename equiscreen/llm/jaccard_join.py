@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_broadcast, small_batches, tidy
+from .common import BATCH, materialise, maybe_broadcast, small_batches, tidy
 
 WORDS = 5
 #: A signature that more classes share is frequent.
@@ -191,8 +191,8 @@ def _index(docs: DataFrame, level: int, seed: int = 0) -> tuple[DataFrame, DataF
         hashes, met = WordHashes(), set()
         lists = lambda cut, x: pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.int64()))
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, BATCH):
+                b = whole.slice(at, BATCH)
                 sigs, owners, info, rows, maps = [], [], [], [], []
                 for did, th, t in zip(*(b.column(c).to_pylist() for c in ("did", "th", "text")), strict=True):
                     sh = shingle_hashes(words_of(t), hashes)
