@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
@@ -272,3 +273,38 @@ def fingerprint(*cols: str) -> Column:
 def rate(part: Column, whole: Column) -> Column:
     """percent, two decimals, 0 of 0 is 0."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(rounded(part / whole * 100.0, 2))
+
+
+#: Names that the red flags look for, under whatever prefix.
+FLAG_NAMES = ("risk_score", "valuation_score", "growth_score", "data_quality_score", "data_completeness_score", "net_debt_to_ebitda", "operating_margin", "fcf_margin", "shares_dilution_3y")
+
+
+def flattened(df: DataFrame) -> DataFrame:
+    """nested fields as columns, names joined by ``_``, arrays and maps as JSON; the first field that ends in one of
+    ``FLAG_NAMES`` is also there under that name.  The schema alone decides, so there is no look at the rows."""
+    out: dict[str, Column] = {}
+
+    def visit(prefix: str, c: Column, kind: T.DataType) -> None:
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                visit(f"{prefix}_{f.name}" if prefix else f.name, c[f.name], f.dataType)
+        else:
+            out[prefix] = F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType)) else c
+
+    for f in df.schema.fields:
+        visit(f.name, F.col(f"`{f.name}`"), f.dataType)
+    for name in FLAG_NAMES:
+        found = next((c for k, c in out.items() if k.lower().endswith(name)), None)
+        if name not in out and found is not None:
+            out[name] = found
+    return df.select(*[c.alias(k) for k, c in out.items()])
+
+
+def parsed_json(c: Column, kind: str, fallback: Column) -> Column:
+    """the value of a JSON text; ``fallback`` where it is null, empty or malformed."""
+    return F.coalesce(F.when(F.get_json_object(c, "$").isNotNull(), F.from_json(c, kind)), fallback)
+
+
+def sorted_json(*columns: str) -> Column:
+    """a JSON object of the named columns in the order of their names, nulls kept."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})

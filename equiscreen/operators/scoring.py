@@ -298,3 +298,25 @@ def request_cost(tokens_in: Column, tokens_out: Column, rate_in: float, rate_out
     """K22."""
     part = lambda c, r: F.greatest(c, F.lit(0)) / 1e6 * r
     return X.rounded(part(tokens_in, rate_in) + part(tokens_out, rate_out), 6)
+
+
+def _listed(xs: list[tuple[str, Column]], none: str) -> Column:
+    said = F.concat_ws(", ", *[F.when(c, F.lit(t)) for t, c in xs])
+    return F.when(said == "", F.lit(none)).otherwise(said)
+
+
+def local_reason(df: DataFrame) -> Column:
+    """the sentence beside a local score; fixed texts."""
+    strong = [("datos de mercado completos", F.col("market_data_component_score") >= 80), ("liquidez/tamaño razonables", F.col("liquidity_component_score") >= 80), ("momentum sin extremos", F.col("momentum_component_score") >= 75), ("buena calidad/fuente de datos", F.col("data_quality_component_score") >= 85)]
+    weak = [("penalizaciones por datos faltantes o extremos", F.col("penalty_score") >= 20), ("sin market data usable", X.text("stage3_status") == "METADATA_SCORE_FALLBACK"), ("errores de proveedor", X.text("error") != "")]
+    return F.concat(F.format_string("LOCAL_SCORE_V0 %.2f: sube por ", df["local_score_v0"]), _listed(strong, "sin fortalezas destacadas"), F.lit("; revisar por "), _listed(weak, "sin alertas fuertes"), F.lit(". No es recomendación financiera."))
+
+
+def combined_summary(total: str, metadata: str, market: str, fundamentals: str, positives: Column, negatives: Column) -> Column:
+    """the sentence beside a combined score, with the first four of each list; fixed texts."""
+    first = lambda xs, said, none: F.when(F.size(xs) > 0, F.concat(F.lit(said), F.array_join(F.slice(xs, 1, 4), ", "))).otherwise(F.lit(none))
+    text = lambda c: F.col(c).cast("string")
+    return F.concat(
+        F.lit("COMBINED_SCORE_V1 "), text(total), F.lit(": metadata "), text(metadata), F.lit(", market data "), text(market), F.lit(", fundamentales "), text(fundamentals), F.lit(". "),
+        first(positives, "Sube por ", "Sin factores positivos fuertes"), F.lit("; "), first(negatives, "vigilar ", "sin alertas fuertes"), F.lit(". No es recomendación financiera."),
+    )

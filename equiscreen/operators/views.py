@@ -1,4 +1,4 @@
-"""Read models: latest rows, joined views, comparisons, selections."""
+"""Read models: latest rows, joined views, comparisons, selections."""
 
 from __future__ import annotations
 
@@ -164,3 +164,49 @@ def first_present(df: DataFrame, names: list[str]) -> Column:
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     """P1."""
     return [c for c in required if c not in df.columns]
+
+
+def bridge(df: DataFrame, columns: dict[str, str], source: str) -> DataFrame:
+    """``columns`` by target name, null where ``df`` has none, and where the rows came from."""
+    return df.select(*[F.col(c).alias(t) if c in df.columns else F.lit(None).cast("string").alias(t) for t, c in columns.items()], F.lit(source).alias("source"))
+
+
+def canonical(df: DataFrame, mapping: dict[str, str], constants: dict[str, str], columns: list[str]) -> DataFrame:
+    """A provider's rows as canonical ones: trimmed text from ``mapping``'s columns, ``constants``, empty text elsewhere."""
+    given = {t: X.text(c) for t, c in mapping.items() if c in df.columns} | {t: F.lit(v) for t, v in constants.items()}
+    return df.select(*[given.get(c, F.lit("")).alias(c) for c in columns])
+
+
+def passed(df: DataFrame, wanted: bool = True, flag: str = "passes_basic_filters") -> DataFrame:
+    """Companies that passed the filters, or those that did not; a null flag is neither."""
+    if flag not in df.columns:
+        raise ValueError(f"column {flag} is missing: apply the basic filters first")
+    return df.where(F.col(flag) == wanted)
+
+
+def by_id(df: DataFrame, value: int, key: str = "id") -> DataFrame:
+    """P18."""
+    return df.where(F.col(key) == value)
+
+
+def by_ticker(df: DataFrame, ticker: str, run_id: str, score: str = "score_priority", key: str = "id") -> DataFrame:
+    """The row of a ticker in a run, the best one if there are more; ``key`` breaks ties."""
+    return df.where((F.col("run_id") == run_id) & (F.upper("ticker") == ticker.strip().upper())).orderBy(F.desc(score), key).limit(1)
+
+
+def run_rows(df: DataFrame, runs: DataFrame, *order: Column | str, run_id: str | None = None) -> DataFrame:
+    """The rows of a run in order; of the latest one unless told otherwise."""
+    chosen = df.where(F.col("run_id") == run_id) if run_id is not None else df.join(latest_run(runs).select("run_id"), "run_id", "left_semi")
+    return chosen.orderBy(*order)
+
+
+def feedback_of_run(feedback: DataFrame, signals: DataFrame, run_id: str) -> DataFrame:
+    """Feedback with its signal's run, newest first.  The run is asked of the signal, so feedback without one goes."""
+    of_run = signals.where(F.col("run_id") == run_id).select(F.col("id").alias("signal_id"), "run_id")
+    return feedback.join(of_run, "signal_id").orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def review_counts(reviews: DataFrame) -> DataFrame:
+    """How many reviews are in each of the four states, 0 where there are none; other states are not counted."""
+    is_in = [F.struct(F.lit(s).alias("manual_status"), F.count_if(F.col("manual_status") == s).alias("n")) for s in REVIEW_STATES]
+    return reviews.agg(F.array(*is_in).alias("counts")).select(F.explode("counts").alias("c")).select("c.*")

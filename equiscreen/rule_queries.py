@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import bindings as B
 from .functions import exprs as X
 from .operators import market, memo, reports, scoring, universe, views
-from .queries import case, query, r2
+from .queries import _LT, _S3, SQL, _quality, _stage3, case, query, r2
 
 _t = lambda c: f"coalesce(trim(cast({c} as varchar)), '')"
 _in = lambda c, words: f"{c} in ({', '.join(repr(w) for w in words)})"
@@ -155,3 +155,105 @@ def xetra_decisions(spark: SparkSession, d: str) -> DataFrame:
     """C17: the last two reasons depend on what was accepted before, so no SQL; the tests compare it with the loop."""
     base = B.frame(spark, d, "select 'XETR' as exchange, 'S' || cast(s_suppkey % 90 as string) as ticker, 'ISIN' || cast(s_suppkey as string) as isin from {supplier}")
     return universe.xetra_decisions(B.frame(spark, d, _XETRA), base).select("input_ordinal", "isin", "ticker", "exclusion_reason")
+
+
+# ---------------------------------------------------------------- reads and projections
+
+_BRIDGE = {"ticker": "ticker", "company_name": "company_name", "sector": "sector", "industry": "industry", "country": "country", "market_cap": "market_cap", "score": "final_stage3_score", "category": "stage3_category"}
+
+
+@query(f"select ticker, company_name, sector, industry, cast(null as varchar) as country, market_cap, final_stage3_score as score, stage3_category as category, 'stage3_opportunity_scoring' as source from {_S3} s")
+def bridge_projection(spark: SparkSession, d: str) -> DataFrame:
+    """P8."""
+    return views.bridge(_stage3(spark, d), _BRIDGE, "stage3_opportunity_scoring")
+
+
+_CANONICAL = ["ticker", "company_name", "exchange", "country", "phone", "isin", "source_provider"]
+
+
+@query("""select cast(s_suppkey as varchar) as ticker, trim(s_name) as company_name, 'TSE' as exchange, 'JP' as country, '' as phone, '' as isin, 'JPX' as source_provider from supplier
+union all select cast(c_custkey as varchar), trim(c_name), trim(c_mktsegment), '', '', cast(c_nationkey as varchar), 'XETRA' from customer""")
+def canonical_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Two providers' rows in one form."""
+    jpx = views.canonical(B.frame(spark, d, "select * from {supplier}"), {"ticker": "s_suppkey", "company_name": "s_name", "phone": "s_fax"}, {"exchange": "TSE", "country": "JP", "source_provider": "JPX"}, _CANONICAL)
+    xetra = views.canonical(B.frame(spark, d, "select * from {customer}"), {"ticker": "c_custkey", "company_name": "c_name", "exchange": "c_mktsegment", "isin": "c_nationkey"}, {"source_provider": "XETRA"}, _CANONICAL)
+    return jpx.unionByName(xetra)
+
+
+@query(f"select ticker, filter_reasons from ({SQL['basic_filters']}) f where not passes_basic_filters")
+def excluded_companies(spark: SparkSession, d: str) -> DataFrame:
+    """P13."""
+    return views.passed(market.basic_filters(_quality(spark, d)), False).select("ticker", "filter_reasons")
+
+
+@query(f"select ticker from ({SQL['basic_filters']}) f where passes_basic_filters")
+def passed_companies(spark: SparkSession, d: str) -> DataFrame:
+    """P13."""
+    return views.passed(market.basic_filters(_quality(spark, d))).select("ticker")
+
+
+_SIGNALS = "select o_orderkey as id, 'C' || cast(o_custkey as string) as ticker, o_orderpriority as run_id, o_totalprice as score_priority, o_orderdate from {orders}"
+
+
+@query(f"select id, ticker, score_priority from ({_SIGNALS}) s where id = 7 union all select id, ticker, score_priority from (select * from ({_SIGNALS}) s where run_id = '1-URGENT' and ticker = 'C7' order by score_priority desc, id limit 1) t")
+def point_lookups(spark: SparkSession, d: str) -> DataFrame:
+    """P18 (one row is the feature)."""
+    signals = B.frame(spark, d, _SIGNALS)
+    return views.by_id(signals, 7).unionByName(views.by_ticker(signals, " c7", "1-URGENT")).select("id", "ticker", "score_priority")
+
+
+@query("select o_orderkey as id, o_totalprice as score_priority from orders where o_orderdate = (select max(o_orderdate) from orders)")
+def latest_run_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of the latest run, by score."""
+    signals = B.frame(spark, d, "select o_orderkey as id, o_orderdate as run_id, o_totalprice as score_priority from {orders}")
+    runs = signals.groupBy("run_id").agg(F.max("run_id").alias("created_at"))
+    return views.run_rows(signals, runs, F.desc("score_priority"), "id").select("id", "score_priority")
+
+
+@query("select event_id as id, user_id as signal_id, ts as created_at, event_type as feedback_label, c_mktsegment as run_id from events join customer on c_custkey = user_id where c_mktsegment = 'BUILDING'")
+def feedback_signals(spark: SparkSession, d: str) -> DataFrame:
+    """J3."""
+    feedback = B.frame(spark, d, "select event_id as id, user_id as signal_id, ts as created_at, event_type as feedback_label from {events}")
+    return views.feedback_of_run(feedback, B.frame(spark, d, "select c_custkey as id, c_mktsegment as run_id from {customer}"), "BUILDING").select("id", "signal_id", "created_at", "feedback_label", "run_id")
+
+
+_REVIEWS = "select case o_orderstatus when 'F' then 'reviewed_watchlist' when 'O' then 'pending_review' when 'P' then 'reviewed_reject' else 'done' end as manual_status from {orders}"
+
+
+@query(f"select s.manual_status, count(r.manual_status) as n from (select 'pending_review' as manual_status union all select 'reviewed_watchlist' union all select 'reviewed_reject' union all select 'needs_more_data') s left join ({_REVIEWS}) r on r.manual_status = s.manual_status group by s.manual_status")
+def review_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A31."""
+    return views.review_counts(B.frame(spark, d, _REVIEWS))
+
+
+_said = lambda none, *xs: "coalesce(nullif(concat_ws(', ', " + ", ".join(f"case when {w} then '{t}' end" for t, w in xs) + f"), ''), '{none}')"
+
+
+@query(
+    "select input_ordinal, 'LOCAL_SCORE_V0 ' || printf('%.2f', local_score_v0) || ': sube por ' || "
+    + _said("sin fortalezas destacadas", ("datos de mercado completos", "market_data_component_score >= 80"), ("liquidez/tamaño razonables", "liquidity_component_score >= 80"), ("momentum sin extremos", "momentum_component_score >= 75"), ("buena calidad/fuente de datos", "data_quality_component_score >= 85"))
+    + " || '; revisar por ' || "
+    + _said("sin alertas fuertes", ("penalizaciones por datos faltantes o extremos", "penalty_score >= 20"), ("sin market data usable", "stage3_status = 'METADATA_SCORE_FALLBACK'"), ("errores de proveedor", "trim(error) <> ''"))
+    + f" || '. No es recomendación financiera.' as reason from {_LT} t"
+)
+def local_reason(spark: SparkSession, d: str) -> DataFrame:
+    """F26."""
+    scored = scoring.local_score(B.frame(spark, d, B.LOCAL))
+    return scored.select("input_ordinal", scoring.local_reason(scored).alias("reason"))
+
+
+@query("""select event_id, user_id as record_user, value as record_scores_risk_score, event_type as record_scores_kind, '["' || event_type || '","' || cast(user_id as varchar) || '"]' as record_tags, value as risk_score from events""")
+def flattened_records(spark: SparkSession, d: str) -> DataFrame:
+    """F28."""
+    return X.flattened(B.frame(spark, d, "select event_id, named_struct('user', user_id, 'scores', named_struct('risk_score', value, 'kind', event_type), 'tags', array(event_type, cast(user_id as string))) as record from {events}"))
+
+
+_JSONS = """select event_id, user_id, event_type, case event_id % 5 when 0 then '' when 1 then null when 2 then '["' || event_type when 3 then '["' || event_type || '"]' else '["a","' || event_type || '","b"]' end as listed from {events}"""
+
+
+@query("""select event_id, case event_id % 5 when 3 then event_type when 4 then 'a|' || event_type || '|b' else 'none' end as items,
+sha256(cast(json_object('event_id', event_id, 'event_type', event_type, 'user_id', user_id) as varchar)) as memo_sha256 from events""")
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """lists read with a fallback, and the hash of a record written with its keys sorted."""
+    items = X.parsed_json(F.col("listed"), "array<string>", F.array(F.lit("none")))
+    return B.frame(spark, d, _JSONS).select("event_id", F.array_join(items, "|").alias("items"), F.sha2(X.sorted_json("user_id", "event_type", "event_id"), 256).alias("memo_sha256"))
