@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, tidy
+from .common import give_back, materialise, small_batches, tidy
 
 #: Parts into which the ranks of one length are split.
 SALTS = 64
 #: What a sequence holds; where small lengths end, as shares of it (the plan with fewer sequences is used); the number of groups.
 CAPACITY, SMALL, GROUPS = 1024, (0.4, 0.5), 96
 #: Parts that a task remembers.
-MEMO = 1_000_000
+MEMO = 200_000
 
 
 class Memo(dict):
@@ -68,6 +68,8 @@ class Memo(dict):
             self.fast = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.opens = np.zeros(max(table.values()) + 1, bool)  # tokens that begin with a space
             self.opens[[i for t, i in table.items() if t[:1] == b" "]] = True
+            del table
+        give_back()  # what reading the vocabularies took
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
