@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,70 +39,49 @@ from .common import give_back, materialise, small_batches, tidy
 SALTS = 64
 #: What a sequence holds; where small lengths end, as shares of it (the plan with fewer sequences is used); the number of groups.
 CAPACITY, SMALL, GROUPS = 1024, (0.4, 0.5), 96
-#: Parts that a task remembers.
-MEMO = 200_000
+#: White space in runs from twice this on is left to the tokenizer itself.
+STRIDE = 500
+BLANKS, RUN = re.compile(r"\s\s"), re.compile(r"\s{%d}" % (2 * STRIDE))
 
 
-class Memo(dict):
-    """Token ids, as little-endian uint32, of what stands after a space and before the next.
+class Encoder:
+    """Token ids, as little-endian uint32, of whole texts.
 
-    A byte-level BPE whose pieces may begin with a space but have none inside, as its pattern says, can be cut
-    before every single space: no token changes.  Parts next to other white space are marked with None, and
-    texts that have one are encoded whole.  ``ranks`` is the same vocabulary as merge ranks: parts not seen yet
-    are encoded by it, all of a batch in one call, which gives the same ids in a quarter of the time.
+    ``ranks`` is the vocabulary of ``path`` as merge ranks: a byte-level BPE gives the same ids by them, in less time.
+    Texts that hold a special token, and those with a run of white space long enough to exhaust the ranks'
+    pattern matcher, are encoded by ``path``, which a task reads when it meets the first of them.
     """
 
     def __init__(self, path: str, ranks: str | None):
-        super().__init__()
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.fast, self.slow = path, None, None
         if ranks:
             import public_tokenizers
             import tiktoken
 
+            with open(path, "rb") as f:
+                self.special = [t["content"] for t in json.load(f)["added_tokens"]]
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("parts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            self.opens = np.zeros(max(table.values()) + 1, bool)  # tokens that begin with a space
-            self.opens[[i for t, i in table.items() if t[:1] == b" "]] = True
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             del table
         give_back()  # what reading the vocabularies took
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, parts: list[str]) -> None:
-        new = []
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace() or any(s in p for s in self.special):
-                self[p] = None
-            else:
-                new.append(p)
-        ids = np.array(self.fast.encode_ordinary(" " + " ".join(new)), "<u4") if new else np.zeros(0, "<u4")
-        raw, at = ids.tobytes(), np.append(np.flatnonzero(self.opens[ids]), len(ids)) * 4
-        self.update(zip(new, map(raw.__getitem__, map(slice, at[:-1].tolist(), at[1:].tolist())), strict=True))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        if self.fast is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self) > MEMO:
-            self.clear()
-        parts = [t.split(" ") for t in texts]
-        first = [p.pop(0) for p in parts]
-        self.learn(list(set().union(*parts) - self.keys()))
-        out = []
-        for t, f, p in zip(texts, first, parts, strict=True):
-            try:
-                if f[-1:].isspace() or any(s in f for s in self.special):
-                    raise TypeError
-                out.append(np.array(self.fast.encode_ordinary(f), "<u4").tobytes() + b"".join(map(self.__getitem__, p)))
-            except TypeError:  # a part is marked
-                out.append(self.whole(t))
-        return out
+    @property
+    def tokenizer(self):
+        if self.slow is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(self.path)
+        return self.slow
+
+    def ids(self, text: str) -> bytes:
+        # of a run of twice STRIDE, two neighbours among each STRIDE-th character are white space
+        if self.fast is None or any(t in text for t in self.special) or BLANKS.search(text[::STRIDE]) and RUN.search(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = CAPACITY, end: int = 2) -> DataFrame:
@@ -110,23 +90,21 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(tokenizer, ranks)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                doc, piece, start, length, crc = [], [], [], [], []
-                for d, raw in zip(b.column("doc_id").to_pylist(), memo.ids([t or "" for t in b.column("text").to_pylist()]), strict=True):
-                    raw += int(end).to_bytes(4, "little")
-                    n, a, k = len(raw) // 4, 0, 0
-                    while a < n:
-                        z = a + ((n - a - 1) % capacity + 1 if k == 0 else capacity)
-                        doc.append(d)
-                        piece.append(k)
-                        start.append(a)
-                        length.append(z - a)
-                        crc.append(zlib.crc32(raw[4 * a : 4 * z]))
-                        a, k = z, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder = Encoder(tokenizer, ranks)
+        for b in batches:
+            doc, piece, start, length, crc = [], [], [], [], []
+            for d, text in zip(b.column("doc_id"), b.column("text"), strict=True):
+                raw = encoder.ids(text.as_py() or "") + int(end).to_bytes(4, "little")
+                d, n, a, k = d.as_py(), len(raw) // 4, 0, 0
+                while a < n:
+                    z = a + ((n - a - 1) % capacity + 1 if k == 0 else capacity)
+                    doc.append(d)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(z - a)
+                    crc.append(zlib.crc32(raw[4 * a : 4 * z]))
+                    a, k = z, k + 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
