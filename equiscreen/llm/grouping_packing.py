@@ -13,7 +13,7 @@ a bounded number of bins says all that matters:
 
 Scale: the plan is made from at most ``capacity`` counts and says which ranks of a length go to which run of
 sequences.  Pieces are ranked in windows of (length, salt), so that a length that a third of all rows share
-is split, and look their place up in the plan; it is of bounded size too.
+is split, into more parts the more pieces have it, and look their place up in the plan; it is of bounded size too.
 
 Defined results: null text is the empty text and has only the end token; repeated rows are packed one by one;
 an empty table gives no pieces; other columns are ignored.
@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, materialise, small_batches, tidy
+from .common import give_back, materialise, maybe_broadcast, small_batches, tidy
 
-#: Parts into which the ranks of one length are split.
-SALTS = 64
+#: Parts into which the ranks of one length are split: so many, and more where one would hold more than PART pieces.
+SALTS, PART = 64, 100_000
 #: What a sequence holds; where small lengths end, as shares of it (the plan with fewer sequences is used); the number of groups.
 CAPACITY, SMALL, GROUPS = 1024, (0.4, 0.5), 96
 #: White space in runs from twice this on is left to the tokenizer itself.
@@ -268,19 +268,21 @@ def _plan(hist: dict[int, int], capacity: int, small: int, groups: int) -> list[
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (as ``pieces`` gives it) with sequence_id and offset."""
-    rows = materialise(cut.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")), "pieces")
-    counts = materialise(rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
-    hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
+    rows = materialise(cut.withColumn("draw", F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    hist = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     plan = json.dumps(plan_packing(hist, capacity))
     kind = "array<struct<length:bigint,`from`:bigint,`to`:bigint,sequence:bigint,offset:bigint>>"
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))  # at most capacity * SALTS rows
     spans = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(plan), kind))).groupBy("length").agg(F.array_sort(F.collect_list(F.struct("from", "to", "sequence", "offset"))).alias("spans"))
+    parts = rows.sparkSession.createDataFrame([(x, max(SALTS, -(-n // PART))) for x, n in hist.items()], "length long, parts long")
+    rows = rows.join(F.broadcast(parts), "length").withColumn("salt", F.pmod("draw", "parts")).drop("draw", "parts")
+    counts = materialise(rows.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))  # a row for each part
     number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     span = F.filter("spans", lambda x: (F.col("rank") >= x["from"]) & (F.col("rank") < x["to"]))[0]
     return (
         rows.withColumn("number", number)
-        .join(F.broadcast(starts), ["length", "salt"]).join(F.broadcast(spans), "length")
+        .join(maybe_broadcast(starts), ["length", "salt"]).join(F.broadcast(spans), "length")
         .withColumn("rank", F.col("begin") + F.col("number")).withColumn("span", span)
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("span.sequence") + F.col("rank") - F.col("span.from")).alias("sequence_id"), F.col("span.offset").alias("offset"))
     )

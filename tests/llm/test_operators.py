@@ -155,6 +155,23 @@ def test_packing(spark, docs, pairs):
     assert grouping_packing.pack(grouping_packing.pieces(docs.limit(0), P.path("byte_bpe_50k.json"))).count() == 0
 
 
+def test_hot_length_is_split_into_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(grouping_packing, "SALTS", 2)
+    monkeypatch.setattr(grouping_packing, "PART", 7)
+    cut = spark.range(300).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 3 = 0, 1024L, 1 + id % 700) as length", "id as ids_crc32")
+    rows = grouping_packing.pack(cut).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(300))
+    by = defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        at = 0
+        for o, n in sorted(places):
+            assert o == at
+            at += n
+        assert at <= 1024
+
+
 def test_ranks_change_no_token():
     from tokenizers import Tokenizer
 
