@@ -89,6 +89,17 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return wrapped
 
 
+#: Arrow's types of the columns that maps give.
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64())}
+
+
+def batch_of(rows: list[tuple], ddl: str, /, **kinds: pa.DataType) -> pa.RecordBatch:
+    """``rows`` as a batch of the columns that ``ddl`` names; ``kinds``: the types of columns that ``ARROW`` does not have."""
+    fields = [f.split(" ", 1) for f in ddl.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n) or ARROW[k]) for c, (n, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
 def id_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, grouping_packing, jaccard_join, mil_toxicity, pu_quality, ring_sharding, suffix_dedup, tiff_media, trie_tokens, xent_scoring
+from . import (
+    decontaminate, differencing_packing, grouping_packing, jaccard_join, mil_toxicity, prefix_trie, pu_quality, ring_sharding, sql, suffix_dedup, tiff_media, trie_tokens, turn_repair,
+    xent_scoring,
+)
 from .common import table
 
 
@@ -54,11 +57,25 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return differencing_packing.pack(differencing_packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pu_quality, op2_ring_sharding, op3_tiff_media, op4_mil_toxicity, op5_grouping_packing, op6_trie_tokens, op7_xent_scoring,
-        op8_decontaminate, op9_suffix_dedup, op10_jaccard_join,
+        op8_decontaminate, op9_suffix_dedup, op10_jaccard_join, op11_turn_repair, op12_differencing_packing, op13_prefix_trie,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_turn_repair": sql.OP11, "op13_prefix_trie": sql.OP13}
