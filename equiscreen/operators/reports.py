@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.rules import first_of
+from .orderings import exact_quantiles, joined
 
 
 def value_counts(df: DataFrame, c: str, n: int | None = 20, missing: str | None = None) -> DataFrame:
@@ -30,18 +31,16 @@ def reason_counts(df: DataFrame, reasons: str, *keys: str, separator: str = ",")
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Count, min, quartiles, max, mean of each column, long form.  One aggregate for all columns."""
-    made = [
-        F.struct(F.lit(c).alias("metric"), F.count(X.real(c)).alias("count"), F.min(X.real(c)).alias("min"), F.percentile(X.real(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max(X.real(c)).alias("max"), F.avg(X.real(c)).alias("mean"))
-        for c in columns
-    ]
-    out = df.agg(F.array(*made).alias("m")).select(F.inline("m"))
+    """Count, min, quartiles, max, mean of each column, long form: one aggregate, and exact quartiles by rounds."""
+    made = [F.struct(F.lit(c).alias("metric"), F.count(X.real(c)).alias("count"), F.min(X.real(c)).alias("min"), F.max(X.real(c)).alias("max"), F.avg(X.real(c)).alias("mean")) for c in columns]
+    out = df.agg(F.array(*made).alias("m")).select(F.inline("m")).join(exact_quantiles(df, columns, [0.25, 0.5, 0.75]), "metric", "left")
     return out.select("metric", "count", *[X.rounded(e, 4).alias(n) for n, e in (("min", F.col("min")), ("p25", F.col("q")[0]), ("median", F.col("q")[1]), ("p75", F.col("q")[2]), ("max", F.col("max")), ("mean", F.col("mean")))])
 
 
 def group_medians(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """A8."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("count"), *[F.median(X.real(c)).alias(f"median_{c}") for c in columns])
+    """Rows and exact medians by group."""
+    found = exact_quantiles(df, columns, [0.5], [key]).groupBy(key).agg(*[F.max(F.when(F.col("metric") == c, F.col("q")[0])).alias(f"median_{c}") for c in columns])
+    return joined(df.groupBy(key).agg(F.count(F.lit(1)).alias("count")), found, [key], "left")
 
 
 def column_coverage(df: DataFrame, columns: list[str]) -> DataFrame:

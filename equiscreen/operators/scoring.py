@@ -11,6 +11,7 @@ from ..functions import exprs as X
 from ..functions.rules import first_of
 from ..plans.policies import SENSITIVITY
 from .market import missing
+from .orderings import counted, ranked
 
 
 def _add(*parts: Column) -> Column:
@@ -229,8 +230,8 @@ def combined_score(df: DataFrame, fundamentals: DataFrame, previous: str = "loca
     parts = ("metadata_score_component", "market_data_score_component", "fundamentals_score_component")
     rows = rows.withColumn("combined_score_v1", X.rounded(X.clamp(_add(*[F.col(c) * k for c, k in zip(parts, (0.20, 0.35, 0.45), strict=True)]))))
     rows = rows.withColumns({"combined_score_delta": X.rounded(F.col("combined_score_v1") - base), "combined_category": category4("combined_score_v1", "combined_score")})
-    same = Window.partitionBy(*[F.round(c, 4) for c in ("combined_score_v1", *parts)])
-    return rows.withColumn("tie_status", F.when(F.count(F.lit(1)).over(same) > 1, F.lit("EXACT_COMPONENT_TIE")).otherwise(F.lit("NO_TIE"))).drop("__has")
+    rows = counted(rows, [F.round(c, 4) for c in ("combined_score_v1", *parts)], "__same")
+    return rows.withColumn("tie_status", F.when(F.col("__same") > 1, F.lit("EXACT_COMPONENT_TIE")).otherwise(F.lit("NO_TIE"))).drop("__has", "__same")
 
 
 def by_combined(df: DataFrame) -> DataFrame:
@@ -247,8 +248,8 @@ def weight_sensitivity(df: DataFrame, scenarios: dict[str, tuple[float, float, f
 
 
 def scenario_rank(df: DataFrame) -> DataFrame:
-    """N12."""
-    return df.withColumn("scenario_rank", F.rank().over(Window.partitionBy("scenario").orderBy(F.desc("scenario_score"))))
+    """By counts of scores over ranges, as a scenario has all rows."""
+    return ranked(df, ["scenario"], "scenario_score", "scenario_rank")
 
 
 #: Fixed values of the metadata score.

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.rules import first_of
+from .greedy import greedy_two_keys
 
 # What a security's name says, in the order in which it is asked: (type, in scope, confidence, words).
 BY_NAME = [
@@ -206,35 +205,9 @@ def cboe_europe_decisions(df: DataFrame, baseline: DataFrame, order: str = "inpu
     return rows.withColumn("exclusion_reason", reason).drop("__t", "__i", "__bt", "__bi", "__fine", "__key", "is_duplicate")
 
 
-def greedy_two_keys(df: DataFrame, a: str, b: str, order: str = "input_ordinal") -> DataFrame:
-    """``df`` with accepted: no earlier accepted row has the same ``a`` or the same ``b``.
-
-    In rounds: a pair that is the earliest left under both of its keys is accepted, and pairs that share a key with an
-    accepted one leave.  Every round settles the earliest pair of each group of keys, by two aggregates and two anti-joins,
-    so no group of keys is one task's.
-    """
-    rest = df.groupBy(a, b).agg(F.min(order).alias(order))
-    done: DataFrame | None = None
-    while True:
-        rest = _settled(rest)
-        if rest.isEmpty():
-            break
-        first = lambda k: rest.groupBy(k).agg(F.min(order).alias(f"__{k}"))  # noqa: E731, B023
-        now = _settled(rest.join(first(a), a).join(first(b), b).where((F.col(order) == F.col(f"__{a}")) & (F.col(order) == F.col(f"__{b}"))).select(a, b, order))
-        rest = rest.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti").select(a, b, order)
-        done = now if done is None else done.unionByName(now)
-    none = df.withColumn("accepted", F.lit(False))
-    return none if done is None else df.join(done.select(order, F.lit(True).alias("accepted")), order, "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    """The rows with a short lineage: checkpointed where the session has a folder for it, cached where it has none."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def xetra_decisions(df: DataFrame, baseline: DataFrame, order: str = "input_ordinal") -> DataFrame:
     """C17: ``df`` (instrument_type, isin, ticker) with exclusion_reason, empty for accepted rows."""
-    kind, isin, ticker = F.upper(X.text("instrument_type")), F.upper(X.text("isin")), F.upper(X.text("ticker"))
+    kind, isin, ticker = F.upper(X.text("instrument_type")), X.ticker("isin", spaces=True), X.ticker("ticker", spaces=True)
     rows = df.withColumns({"__isin": isin, "__key": F.when(ticker != "", F.concat(F.lit("XETR|"), ticker)).otherwise(F.lit(""))})
     rows = rows.join(baseline.select(F.upper(X.text("isin")).alias("__isin")).where("__isin <> ''").distinct().withColumn("__bi", F.lit(True)), "__isin", "left")
     rows = rows.join(baseline.select(F.concat_ws("|", F.upper(X.text("exchange")), F.upper(X.text("ticker"))).alias("__key")).distinct().withColumn("__bk", F.lit(True)), "__key", "left")
