@@ -6,15 +6,29 @@ matters; it is made from the file's order without bringing rows to one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.orderings import settled, small
+
 
 def with_ordinal(df: DataFrame, name: str = "input_ordinal") -> DataFrame:
-    """Rows numbered from 1 in the frame's order: counts by partition first, then each row its place in its own."""
-    rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-    return df.sparkSession.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    """Rows numbered from 1 in the frame's order: counts by partition first, then each row its place in its own.
+
+    The rows are settled once, as a number within a partition holds only for one run of it.
+    """
+    rows = settled(df.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    starts = starts.select("__part", "__first", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__start"))
+    return rows.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__first", "__start")
 
 
 def csv_text(spark: SparkSession, path: str, columns: list[str] | None = None, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
@@ -40,36 +54,73 @@ def pipe_directory(spark: SparkSession, path: str) -> DataFrame:
     return df.where(~F.lower(F.coalesce(F.col(f"`{df.columns[0]}`"), F.lit(""))).startswith("file creation time"))
 
 
-def header_score(line: Column, words: list[str], sep: str) -> Column:
-    """How many of ``words`` a line has, and then how many columns."""
-    hits = sum((F.lower(line).contains(w.lower()).cast("int") for w in words), F.lit(0))
-    return hits * 100 + F.least(F.size(F.split(line, "\\" + sep)), F.lit(99))
+SEPARATORS = (",", ";", "|", "\t")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 0), value of every line of every file, however the files are split: counts by split, then places within it."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    lines = settled(lines)  # the splits of one reading: those of another may differ
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
+    starts = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    starts = starts.select("file", "block", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    return lines.join(small(starts), ["file", "block"]).select("file", (F.col("start") + F.col("at") - F.col("first")).alias("line"), "value")
+
 
+def cells(line: Column, sep: str) -> Column:
+    """A header's cells: without quotes, blanks and a byte-order mark."""
+    return F.transform(F.split(line, "\\" + sep if sep in "|.^$*+?()[]{}" else sep), lambda c: F.trim(F.regexp_replace(F.trim(c), '^\ufeff|^"|"$', "")))
 
-def best_header(spark: SparkSession, path: str, words: list[str], separators: tuple[str, ...] = (",", ";", "|", "\t"), lines: int = 120) -> tuple[int, str]:
-    """The best (line number from 0, separator) among the first ``lines`` lines of a file."""
-    head = [r["value"] for r in spark.read.text(path).limit(lines).collect()]  # a bounded sample
-    ranked = [(sum(w.lower() in x.lower() for w in words), len(x.split(s)), -i, s) for i, x in enumerate(head) for s in separators]
-    hits, _, i, s = max(ranked)
-    if not hits:
+
+def best_headers(lines: DataFrame, words: list[str], separators: tuple[str, ...] = SEPARATORS, most: int = 120, rule: str | int = "best") -> DataFrame:
+    """File, line, sep, hits, names: each file's own header among its first ``most`` lines.
+
+    ``rule``: ``best`` is the line and separator with most of ``words``, then most cells, then the first line; files with none of the words
+    have no header.  ``named`` is the first line that has each of ``words`` as a cell, and line 0 where none has.  A number is that line.
+    The separator is the one with most cells.
+    """
+    found = F.array(*[F.struct(F.lit(s).alias("sep"), cells(F.col("value"), s).alias("names")) for s in separators])
+    low = F.transform("names", lambda c: F.lower(c))
+    hits = sum((F.lower("value").contains(w.lower()).cast("int") for w in words), F.lit(0))
+    head = lines.where(F.col("line") < most if isinstance(rule, str) else F.col("line") == rule)
+    rows = head.select("file", "line", "value", F.inline(found)).withColumns({"hits": hits, "all": F.array_except(F.array(*[F.lit(w.lower()) for w in words]) if words else F.array().cast("array<string>"), low)})
+    n = F.size("names")
+    order = {"best": F.struct("hits", n, -F.col("line"), "sep"), "named": F.struct(F.size("all") == 0, F.when(F.size("all") == 0, -F.col("line")).otherwise(F.when(F.col("line") == 0, 0).otherwise(-1)), n, "sep")}
+    best = rows.groupBy("file").agg(F.max_by(F.struct("line", "sep", "hits", "names"), order.get(rule, F.struct(n, "sep"))).alias("b")).select("file", "b.*")
+    return best.where("hits > 0") if rule == "best" else best
+
+
+def best_header(spark: SparkSession, path: str, words: list[str], separators: tuple[str, ...] = SEPARATORS, lines: int = 120) -> tuple[int, str]:
+    """The best (line number from 0, separator) of one file."""
+    found = best_headers(numbered_lines(spark, path), words, separators, lines).first()
+    if found is None:
         raise ValueError(f"no header with any of {words} in the first {lines} lines of {path}")
-    return -i, s
+    return found["line"], found["sep"]
 
 
-def csv_with_preamble(spark: SparkSession, path: str, header: int | str = "best", words: list[str] | None = None, sep: str | None = None, lines: int = 25) -> DataFrame:
-    """A delimited file whose header stands on a later line: at a given line, or the best by ``words``.
+def csv_with_preamble(spark: SparkSession, path: str, header: int | str = "best", words: list[str] | None = None, sep: str | None = None, lines: int = 25, file_column: str | None = None) -> DataFrame:
+    """Delimited files whose headers stand on later lines, each file's on its own, under its own separator and names.
 
-    Lines are parsed on the executors; only the sample in which the header is looked for comes to the driver.
+    The columns are those of all files, in the order in which they come; a file has nulls in those it lacks.  Rows with fewer cells
+    than their header are dropped.  A record is one line.  Only names of columns and separators come to the driver.
     """
-    if header == "best":
-        header, found = best_header(spark, path, words or [], (sep,) if sep else (",", ";", "|", "\t"), lines)
-        sep = sep or found
-    sep = sep or ","
-    head = spark.read.text(path).limit(int(header) + 1).collect()[int(header)]["value"]
-    names = [c.strip().strip('"').lstrip("﻿") for c in head.split(sep)]
-    body = with_ordinal(spark.read.text(path), "__line").where(F.col("__line") > int(header) + 1)
-    parsed = body.withColumn("__row", F.from_csv("value", ", ".join(f"`{c}` string" for c in names), {"sep": sep}))
-    return parsed.where(F.size(F.split("value", "\\" + sep)) >= len(names)).select("__row.*")
+    every = numbered_lines(spark, path)
+    heads = settled(best_headers(every, words or [], (sep,) if sep else SEPARATORS, lines, header))
+    first = heads.select("file", F.posexplode("names").alias("pos", "name")).where("name <> ''").groupBy("name").agg(F.min(F.struct("file", "pos")).alias("at"))
+    columns = [r["name"] for r in first.orderBy("at").collect()]
+    shape = heads.agg(F.max(F.size("names")).alias("width"), F.collect_set("sep").alias("seps")).first()
+    width, seps = shape["width"] or 0, sorted(shape["seps"])
+    body = every.alias("l").join(small(heads.select("file", F.col("line").alias("head"), "sep", "names")), "file").where("line > head")
+    made = F.when(F.lit(False), F.array().cast("array<string>"))
+    fields = [f"c{i}" for i in range(width)]
+    for s in seps:
+        row = F.from_csv("value", ", ".join(f"{f} string" for f in fields), {"sep": s})
+        made = made.when(F.col("sep") == s, F.array(*[row[f] for f in fields]))
+        body = body.where((F.col("sep") != s) | (F.size(F.split("value", "\\" + s if s == "|" else s)) >= F.size("names")))
+    out = body.withColumn("cells", made)
+    at = lambda c: F.get("cells", F.array_position("names", c).cast("int") - 1)  # noqa: E731  a name that is not there is at -1
+    found = lambda c: F.when(F.array_contains("names", c), at(c))
+    return out.select(*[found(c).alias(c) for c in columns], *([F.col("file").alias(file_column)] if file_column else []))
 
 
 def json_columns(spark: SparkSession, path: str) -> DataFrame:
@@ -95,11 +146,36 @@ def json_files(spark: SparkSession, path: str, pattern: str = r"^([A-Z0-9.\-]+)_
     return spark.read.json(path, multiLine=True).select("*", name.alias("file_name"), F.regexp_extract(name, pattern, 1).alias("file_ticker"), stamp_of_name(name).alias("file_time"))
 
 
-def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path, size, time, SHA-256 and the ticker that the name begins with."""
+#: Files up to this size are hashed as a value of Spark's reader; larger ones, which no value holds, are read in pieces.
+WHOLE_FILE, PIECE = 256 << 20, 8 << 20
+
+
+def file_manifest(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """Path, size, time, SHA-256 and the ticker that the name begins with.
+
+    Files of over ``whole`` bytes are read as streams in the tasks, ``PIECE`` bytes at a time, by the file system that their address
+    names, so no file's size is a bound and a task holds one piece.
+    """
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return df.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), F.upper(F.regexp_extract(stem, r"^([A-Za-z0-9.\-]+)", 1)).alias("ticker"))
+    named = [F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
+    ticker = F.upper(F.regexp_extract(stem, r"^([A-Za-z0-9.\-]+)", 1)).alias("ticker")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small_ones = files.where(F.col("length") <= whole).select("path", *named, F.sha2("content", 256).alias("sha256"), ticker)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p in b.column("path").to_pylist():
+                system, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", p))
+                h = hashlib.sha256()
+                with system.open_input_stream(at) as f:
+                    while piece := f.read(PIECE):
+                        h.update(piece)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string()), b.column("ticker")], names=["path", "size", "modified", "sha256", "ticker"])
+
+    large = files.where(F.col("length") > whole).select("path", *named, ticker).repartition("path")  # a task for a few large files
+    return small_ones.unionByName(large.mapInArrow(hashed, "path string, size long, modified timestamp, sha256 string, ticker string"))
 
 
 def fresh(df: DataFrame, date: str, days: int) -> DataFrame:

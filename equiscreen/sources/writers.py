@@ -1,9 +1,7 @@
-"""Sinks (S15-S20, S22, S23): guarded, split, appended, upserted, dated."""
+"""Sinks (S15-S18, S22, S23): guarded, split, appended, dated.  Tables that are upserted are in ``versions``."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,21 +29,6 @@ def append(df: DataFrame, path: str, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str], created: str | None = None) -> DataFrame:
-    """New rows over old ones of the same key; ``created`` keeps the old row's value.  Of new rows with one key any one counts, so dedupe first."""
-    if created:
-        kept = old.select(*keys, F.col(created).alias("__created"))
-        new = new.join(kept, keys, "left").withColumn(created, F.coalesce("__created", created)).select(*new.columns)
-    return new.unionByName(old.join(new.select(*keys), keys, "left_anti"), allowMissingColumns=True)
-
-
-def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], created: str | None = None) -> None:
-    """The table at ``path`` is written beside itself first and then replaced, so a failed job leaves the old one."""
-    side = f"{path}__{uuid.uuid4().hex}"
-    upserted(spark.read.parquet(path), new, keys, created).write.parquet(side)
-    spark.read.parquet(side).write.mode("overwrite").parquet(path)
-
-
 def export_bundle(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
     """S22."""
     for name, df in tables.items():
