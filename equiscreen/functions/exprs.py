@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .canonical import json_text
+
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -265,9 +267,9 @@ def row_text(*cols: Column | str) -> Column:
     return F.upper(F.concat_ws(" ", *[F.coalesce(col(c).cast("string"), F.lit("")) for c in cols]))
 
 
-def fingerprint(*cols: str) -> Column:
-    """SHA-256 of the named columns as JSON, in the order of their names."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(cols)])), 256)
+def fingerprint(df: DataFrame, *columns: str) -> Column:
+    """SHA-256 of the named columns of ``df`` as a JSON object with sorted keys."""
+    return F.sha2(sorted_json(df, *columns), 256)
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -289,7 +291,7 @@ def flattened(df: DataFrame) -> DataFrame:
             for f in kind.fields:
                 visit(f"{prefix}_{f.name}" if prefix else f.name, c[f.name], f.dataType)
         else:
-            out[prefix] = F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType)) else c
+            out[prefix] = F.when(c.isNotNull(), json_text(c, kind, sort=False)) if isinstance(kind, (T.ArrayType, T.MapType)) else c
 
     for f in df.schema.fields:
         visit(f.name, F.col(f"`{f.name}`"), f.dataType)
@@ -305,6 +307,7 @@ def parsed_json(c: Column, kind: str, fallback: Column) -> Column:
     return F.coalesce(F.when(F.get_json_object(c, "$").isNotNull(), F.from_json(c, kind)), fallback)
 
 
-def sorted_json(*columns: str) -> Column:
-    """a JSON object of the named columns in the order of their names, nulls kept."""
-    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+def sorted_json(df: DataFrame, *columns: str) -> Column:
+    """a JSON object of the named columns of ``df``: keys sorted at every depth, nulls kept, as ``canonical`` writes it."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return json_text(F.struct(*[F.col(c) for c in columns]), T.StructType([T.StructField(c, kinds[c]) for c in columns]))

@@ -6,7 +6,7 @@ of the gravest effect.  Nothing here runs Python on rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -67,8 +67,14 @@ def first_of(cases: list[tuple[str, Column]], default: str) -> Column:
 
 
 def classified(df: DataFrame, rules: list[Rule], stage: str) -> DataFrame:
-    """``df`` with <stage>_status, <stage>_primary_reason, <stage>_all_reasons and <stage>_reasons (structs)."""
-    out = df.withColumn(f"{stage}_reasons", reasons(rules)).withColumn(f"{stage}_status", status(rules))
+    """``df`` with <stage>_status, <stage>_primary_reason, <stage>_all_reasons and <stage>_reasons (structs).
+
+    What holds is found once, as an array of booleans; status, reasons and log are read from it.
+    """
+    held = f"__{stage}_held"
+    found = df.withColumn(held, F.array(*[F.coalesce(r.when, F.lit(False)) for r in rules]))
+    known = [replace(r, when=F.get(F.col(held), F.lit(i))) for i, r in enumerate(rules)]
+    out = found.withColumns({f"{stage}_reasons": reasons(known), f"{stage}_status": status(known)}).drop(held)
     return out.withColumns({
         f"{stage}_primary_reason": F.coalesce(F.get(F.col(f"{stage}_reasons"), F.lit(0))["code"], F.lit("")),
         f"{stage}_all_reasons": F.array_join(F.transform(f"{stage}_reasons", lambda r: r["code"]), "|"),

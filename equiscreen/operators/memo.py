@@ -165,26 +165,99 @@ def issues(*cases: tuple[Column, str, str, str]) -> Column:
 FUNDAMENTAL_NUMBERS = ("revenue", "revenue_growth_yoy", "gross_margin", "operating_margin", "net_margin", "free_cash_flow", "total_cash", "total_debt", "shares_diluted")
 
 
-def validate_fundamentals(df: DataFrame, universe: DataFrame, order: str = "input_ordinal") -> DataFrame:
-    """``df`` with issues and valid (no ERROR); a ticker's later rows are duplicates."""
+#: The columns that each file must have.
+FUNDAMENTAL_COLUMNS = ("ticker", "period", "period_end", *FUNDAMENTAL_NUMBERS[:8], "shares_diluted", "currency", "source_note")
+UNIVERSE_COLUMNS = ("ticker", "name", "exchange", "country", "sector", "industry")
+LISTING_COLUMNS = ("ticker", "company_name", "exchange", "country", "source_provider", "source_file", "instrument_type", "instrument_scope", "classification_confidence", "classification_reason")
+#: What a listing may say.
+LISTING_WORDS = {"instrument_scope": ("IN_SCOPE", "IN_SCOPE_ADR"), "instrument_type": ("COMMON_STOCK", "ADR"), "classification_confidence": ("HIGH", "MEDIUM", "LOW")}
+
+ISSUE = "level string, row_number long, ticker string, field string, message string"
+
+
+def repeats(df: DataFrame, key: Column, order: str) -> Column:
+    """Whether an earlier row has the same key; blank keys, however many, are nobody's repeats and no window's."""
     from pyspark.sql import Window
 
-    t = X.ticker("ticker")
-    known = universe.select(X.ticker("ticker").alias("__t")).distinct().withColumn("__in", F.lit(True))
-    rows = df.withColumn("__t", t).withColumn("__n", F.row_number().over(Window.partitionBy("__t").orderBy(order))).join(known, "__t", "left")
-    cases = [(F.col("__t") == "", "ERROR", "ticker", "Empty ticker"), ((F.col("__t") != "") & (F.col("__n") > 1), "ERROR", "ticker", "Duplicate ticker"), ((F.col("__t") != "") & F.col("__in").isNull(), "WARNING", "ticker", "Ticker not present in universe"),
+    own = F.when(key != "", key).otherwise(F.concat(F.lit(" "), F.col(order).cast("string")))
+    return F.row_number().over(Window.partitionBy(own).orderBy(order)) > 1
+
+
+def file_issues(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """What is wrong with a file as a whole, as ``ISSUE``: no rows, columns that are missing.  At most a row for each column."""
+    missing = [c for c in required if c not in df.columns]
+    spark = df.sparkSession
+    columns = spark.createDataFrame([("ERROR", None, "", c, f"Missing required column: {c}") for c in missing], ISSUE)
+    empty = df.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit("ERROR").alias("level"), F.lit(None).cast("long").alias("row_number"), F.lit("").alias("ticker"), F.lit("file").alias("field"), F.lit("file is empty or unreadable").alias("message"))
+    return columns.unionByName(empty)
+
+
+def all_issues(df: DataFrame, marked: DataFrame | None, required: tuple[str, ...], order: str) -> DataFrame:
+    """File-level issues and those of rows (``marked`` has ``issues``) in one channel; ``order`` is a row's number."""
+    whole = file_issues(df, required)
+    if marked is None:
+        return whole
+    rows = marked.select(F.col(order).cast("long").alias("row_number"), X.ticker("ticker").alias("ticker"), F.explode("issues").alias("i"))
+    return whole.unionByName(rows.select("i.level", "row_number", "ticker", "i.field", "i.message"))
+
+
+def validate_fundamentals(df: DataFrame, universe: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """``df`` with issues and valid (no ERROR); a ticker's later rows are duplicates, an empty universe knows all."""
+    known = universe.select(X.ticker("ticker").alias("__t")).where("__t <> ''").distinct()
+    some = known.limit(1).agg(F.count(F.lit(1)).alias("__some"))  # one row
+    rows = df.withColumns({"__t": X.ticker("ticker"), "__again": repeats(df, X.ticker("ticker"), order)}).join(known.withColumn("__in", F.lit(True)), "__t", "left").crossJoin(F.broadcast(some))
+    named = F.col("__t") != ""
+    cases = [(~named, "ERROR", "ticker", "Empty ticker"), (named & F.col("__again"), "ERROR", "ticker", "Duplicate ticker"), ((F.col("__some") > 0) & named & F.col("__in").isNull(), "WARNING", "ticker", "Ticker not present in real_universe.csv"),
              (~F.upper(X.text("period")).isin("TTM", "FY", "MRQ", "ANNUAL", "QUARTER"), "WARNING", "period", "Unexpected period value")]
     for c in FUNDAMENTAL_NUMBERS:
         x = X.number(c)
-        cases.append((x.isNull(), "ERROR", c, "Non numeric or empty value"))
+        cases.append((x.isNull(), "ERROR", c, f"Non numeric or empty value: {c}"))
         if c in ("revenue", "shares_diluted"):
-            cases.append((x <= 0, "ERROR", c, "must be positive"))
+            cases.append((x <= 0, "ERROR", c, f"{c} must be positive"))
         if c in ("gross_margin", "operating_margin", "net_margin"):
             cases.append((F.abs(x) > 100, "WARNING", c, "Suspicious margin percentage"))
-    rows = rows.withColumn("issues", issues(*cases)).drop("__t", "__n", "__in")
+    rows = rows.withColumn("issues", issues(*cases)).drop("__t", "__again", "__in", "__some")
     return rows.withColumn("valid", ~F.exists("issues", lambda i: i["level"] == "ERROR"))
 
 
+def fundamentals_issues(df: DataFrame, universe: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """All issues of a fundamentals file; rows are looked at only if no column is missing."""
+    ready = set(FUNDAMENTAL_COLUMNS) <= set(df.columns)
+    return all_issues(df, validate_fundamentals(df, universe, order) if ready else None, FUNDAMENTAL_COLUMNS, order)
+
+
+def validate_universe(df: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """``df`` with issues; a row without a ticker of the right shape has no other issue, nor is it another's repeat."""
+    from .universe import looks_like_ticker
+
+    t = X.ticker("ticker")
+    fine = (t != "") & looks_like_ticker(t)
+    rows = df.withColumn("__again", repeats(df, F.when(fine, t).otherwise(F.lit("")), order))
+    cases = [(t == "", "ERROR", "ticker", "Empty ticker."), ((t != "") & ~fine, "ERROR", "ticker", "Invalid ticker format."), (fine & F.col("__again"), "WARNING", "ticker", "Duplicate ticker.")]
+    cases += [(fine & X.is_blank(c), "WARNING", c, f"Empty {c}.") for c in ("exchange", "country") if c in df.columns]
+    return rows.withColumn("issues", issues(*cases)).drop("__again")
+
+
+def universe_issues(df: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """All issues of a universe file."""
+    return all_issues(df, validate_universe(df, order) if "ticker" in df.columns else None, UNIVERSE_COLUMNS, order)
+
+
+def universe_summary(df: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """One row: rows_total, valid_tickers, duplicate_tickers (distinct), empty_tickers, invalid_tickers, status."""
+    from .universe import looks_like_ticker
+
+    t = X.ticker("ticker")
+    keys = df.groupBy(t.alias("t")).agg(F.count(F.lit(1)).alias("n")).withColumn("fine", looks_like_ticker(F.col("t")))
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    out = keys.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_total"), F.count_if("fine").alias("valid_tickers"), F.count_if(F.col("fine") & (F.col("n") > 1)).alias("duplicate_tickers"),
+        total(F.col("t") == "").alias("empty_tickers"), total((F.col("t") != "") & ~F.col("fine")).alias("invalid_tickers"),
+    )
+    missing = F.lit(any(c not in df.columns for c in UNIVERSE_COLUMNS))
+    return out.withColumn("status", F.when(missing | (F.col("empty_tickers") > 0) | (F.col("invalid_tickers") > 0), F.lit("ERROR")).when(F.col("duplicate_tickers") > 0, F.lit("WARNING")).otherwise(F.lit("OK")))
+
+
 MARKET_COLUMNS, PERCENTS, LEGACY_PERCENTS = ("ticker", "price", "market_cap", "volume", "average_volume", "currency", "as_of"), ("change_1d_pct", "change_5d_pct", "change_20d_pct"), ("change_1d", "change_5d", "change_20d")
 
 
@@ -212,16 +285,21 @@ def validate_market_rows(df: DataFrame, order: str = "input_ordinal") -> DataFra
     return df.withColumn("__seen", seen).withColumn("issues", issues(*cases)).drop("__seen")
 
 
-def validate_listing(df: DataFrame, vocabulary: dict[str, list[str]], required: list[str]) -> DataFrame:
-    """Empty fields, odd tickers and values outside their vocabulary."""
-    from .universe import looks_like_ticker
-
-    cases = [(X.is_blank(c), "ERROR", c, "Empty field") for c in required]
-    cases += [(~X.is_blank("ticker") & ~looks_like_ticker(X.ticker("ticker")), "WARNING", "ticker", "Unusual ticker")]
-    cases += [(~X.is_blank(c) & ~X.text(c).isin(*words), "ERROR", c, "Value outside its vocabulary") for c, words in vocabulary.items()]
+def validate_listing(df: DataFrame, vocabulary: dict[str, tuple[str, ...]] = LISTING_WORDS) -> DataFrame:
+    """``df`` with issues: empty fields and values outside their vocabulary, blank ones too."""
+    names = {"instrument_scope": "INVALID_SCOPE", "instrument_type": "INVALID_INSTRUMENT_TYPE", "classification_confidence": "INVALID_CONFIDENCE"}
+    cases = [(X.is_blank(c), "ERROR", c, f"EMPTY_{c.upper()}") for c in ("ticker", "company_name", "exchange", "country")]
+    cases += [(~X.text(c).isin(*words), "ERROR", c, names.get(c, f"INVALID_{c.upper()}")) for c, words in vocabulary.items()]
     return df.withColumn("issues", issues(*cases))
 
 
+def listing_issues(df: DataFrame, order: str = "input_ordinal") -> DataFrame:
+    """All issues of a listing file, and one for each key of exchange and ticker that several rows have."""
+    again = df.where(~X.is_blank("ticker") & ~X.is_blank("exchange")).groupBy(X.text("exchange").alias("exchange"), X.ticker("ticker").alias("ticker")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keys = again.select(F.lit("ERROR").alias("level"), F.lit(None).cast("long").alias("row_number"), "ticker", F.lit("exchange+ticker").alias("field"), F.concat(F.lit("DUPLICATE_KEY "), "exchange", F.lit(" "), F.col("n").cast("string")).alias("message"))
+    return all_issues(df, validate_listing(df), LISTING_COLUMNS, order).unionByName(keys)
+
+
 def issue_rows(df: DataFrame, key: str = "ticker") -> DataFrame:
     return df.select(key, F.explode("issues").alias("i")).select(key, "i.level", "i.field", "i.message")
 

@@ -204,7 +204,21 @@ FUNDAMENTALS = ("revenue", "revenue_growth_yoy", "gross_margin", "operating_marg
 
 
 def combined_score(df: DataFrame, fundamentals: DataFrame, previous: str = "local_score_v0", order: str = "input_ordinal", price: str | None = None) -> DataFrame:
-    """Components, combined score, ties.  Of fundamentals with one ticker the last row counts.
+    """Components, combined score and ties."""
+    return with_ties(combined_components(df, fundamentals, previous, order, price))
+
+
+COMPONENTS = ("metadata_score_component", "market_data_score_component", "fundamentals_score_component")
+
+
+def with_ties(rows: DataFrame) -> DataFrame:
+    """Whether another row has the same four scores."""
+    rows = counted(rows, [F.round(c, 4) for c in ("combined_score_v1", *COMPONENTS)], "__same")
+    return rows.withColumn("tie_status", F.when(F.col("__same") > 1, F.lit("EXACT_COMPONENT_TIE")).otherwise(F.lit("NO_TIE"))).drop("__same")
+
+
+def combined_components(df: DataFrame, fundamentals: DataFrame, previous: str = "local_score_v0", order: str = "input_ordinal", price: str | None = None) -> DataFrame:
+    """Components and combined score.  Of fundamentals with one ticker the last row counts.
 
     ``price``: the price column; the chain before this writes none under the name it looks for, so the default is none.
     The changes are compared with percent bounds as they come, whatever their unit.
@@ -227,11 +241,8 @@ def combined_score(df: DataFrame, fundamentals: DataFrame, previous: str = "loca
         "fundamentals_score_component": F.when(has, fundamentals_component()).otherwise(35.0), "fundamentals_granular_score": F.when(has, granular_fundamentals()).otherwise(0.0),
         "fundamentals_status": F.when(has, F.lit("OK")).otherwise(F.lit("MISSING")),
     })
-    parts = ("metadata_score_component", "market_data_score_component", "fundamentals_score_component")
-    rows = rows.withColumn("combined_score_v1", X.rounded(X.clamp(_add(*[F.col(c) * k for c, k in zip(parts, (0.20, 0.35, 0.45), strict=True)]))))
-    rows = rows.withColumns({"combined_score_delta": X.rounded(F.col("combined_score_v1") - base), "combined_category": category4("combined_score_v1", "combined_score")})
-    rows = counted(rows, [F.round(c, 4) for c in ("combined_score_v1", *parts)], "__same")
-    return rows.withColumn("tie_status", F.when(F.col("__same") > 1, F.lit("EXACT_COMPONENT_TIE")).otherwise(F.lit("NO_TIE"))).drop("__has", "__same")
+    rows = rows.withColumn("combined_score_v1", X.rounded(X.clamp(_add(*[F.col(c) * k for c, k in zip(COMPONENTS, (0.20, 0.35, 0.45), strict=True)]))))
+    return rows.withColumns({"combined_score_delta": X.rounded(F.col("combined_score_v1") - base), "combined_category": category4("combined_score_v1", "combined_score")}).drop("__has")
 
 
 def by_combined(df: DataFrame) -> DataFrame:

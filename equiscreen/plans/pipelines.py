@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.rules import reason_log
 from ..operators import market, memo, reports, scoring, stages, universe, views
+from ..operators.orderings import settled, small
+from ..sources.readers import with_ordinal
 from . import policies
 
 
@@ -17,14 +21,23 @@ def quant(companies: DataFrame, history: DataFrame) -> DataFrame:
     return scoring.priority(market.basic_filters(market.data_quality(snapshot)))
 
 
-def funnel(companies: DataFrame, fundamentals: DataFrame) -> dict[str, DataFrame]:
-    """Stage 1, fundamentals of what passed, Stage 2, Stage 3.  Clashing columns of the fundamentals get a suffix."""
-    first = stages.stage1(companies)
-    passed = first.where("stage1_status = 'PASSED'")
+def funnel_rows(companies: DataFrame, fundamentals: DataFrame) -> DataFrame:
+    """What passes Stage 1, with its fundamentals, Stage 2 and, if it passes that, Stage 3: one plan, each table read once.
+
+    Clashing columns of the fundamentals get a suffix.
+    """
+    passed = stages.stage1(companies).where("stage1_status = 'PASSED'")
     clash = [c for c in fundamentals.columns if c in passed.columns and c != "ticker"]
     second = stages.stage2(passed.join(fundamentals.withColumnsRenamed({c: f"{c}_fundamental" for c in clash}), "ticker", "left"))
-    third = stages.stage3(second.where("stage2_status = 'PASSED'"))
-    return {"stage1": first, "stage2": second, "stage3": third}
+    third = stages.stage3(second)
+    new = [c for c in third.columns if c not in second.columns]
+    return third.withColumns({c: F.when(F.col("stage2_status") == "PASSED", F.col(c)) for c in new})
+
+
+def funnel(companies: DataFrame, fundamentals: DataFrame) -> dict[str, DataFrame]:
+    """The frames of the three stages, each of what passed the one before."""
+    rows = funnel_rows(companies, fundamentals)
+    return {"stage1": stages.stage1(companies), "stage2": rows, "stage3": rows.where("stage2_status = 'PASSED'")}
 
 
 def pilot(raw: DataFrame, aliases: dict[str, list[str]], n: int, order: str = "input_ordinal") -> DataFrame:
@@ -75,6 +88,26 @@ def local_chain(companies: DataFrame, manual: DataFrame, cache: DataFrame, funda
     return scoring.combined_score(scoring.explain(scoring.local_score(merged)), fundamentals)
 
 
+def combined_until_stable(rows: DataFrame, fundamentals: DataFrame, previous: str = "local_score_v0", most: int = 50, price: str | None = None) -> DataFrame:
+    """The combined score with itself as the previous score, again and again until no score moves; ``rounds`` says how often.
+
+    A score's next value moves by under a quarter of its last move, so a few rounds do; only rows that still move are scored
+    again, and each round is settled, so the plan does not grow.  Ties are looked for once all are stable.
+    """
+    moving, done = rows.withColumn("__begin", F.col(previous)), []
+    for i in range(1, most + 1):
+        scored = settled(scoring.combined_components(moving, fundamentals, previous, price=price).withColumn("rounds", F.lit(i)))
+        done.append(scored.where("combined_score_delta = 0"))
+        again = scored.where("combined_score_delta <> 0")
+        if again.isEmpty():
+            break
+        moving = again.withColumn(previous, F.col("combined_score_v1")).select(*rows.columns, "__begin")
+    else:
+        done.append(again)
+    out = scoring.with_ties(reduce(DataFrame.unionByName, done))
+    return out.withColumn(previous, F.col("__begin")).drop("__begin")
+
+
 def add_provider(baseline: DataFrame, candidates: DataFrame, keys: list[str], order: str = "input_ordinal") -> tuple[DataFrame, DataFrame]:
     """The baseline with what is new of a provider, and the audit of every candidate."""
     audit = universe.merge_audit(baseline, candidates, keys, order)
@@ -120,10 +153,7 @@ def research_queue(ranking: DataFrame, cards: DataFrame, key: str = "ticker") ->
 
 
 def scaled(seed: DataFrame, n: int, key: str = "ticker") -> DataFrame:
-    """``n`` rows by repeating a small seed (its rows are counted first) with suffixed keys."""
-    spark, k = seed.sparkSession, seed.count()
-    from pyspark.sql import Window
-
-    numbered = seed.withColumn("__i", F.row_number().over(Window.orderBy(key)) - 1)
-    rows = spark.range(n).withColumn("__i", F.col("id") % k)
-    return rows.join(F.broadcast(numbered), "__i").withColumn(key, F.concat_ws("_", key, F.floor(F.col("id") / k).cast("string"))).drop("id", "__i")
+    """``n`` rows by repeating a seed (its rows are counted first) with suffixed keys; no task gets more than its share."""
+    k = seed.count()
+    rows = seed.sparkSession.range(n).select((F.col("id") % k + 1).alias("__i"), F.floor(F.col("id") / k).alias("__copy"))
+    return rows.join(small(with_ordinal(seed.orderBy(key), "__i")), "__i").withColumn(key, F.concat_ws("_", key, F.col("__copy").cast("string"))).drop("__copy", "__i")

@@ -11,6 +11,7 @@ from . import bindings as B
 from .functions import exprs as X
 from .functions.rules import reason_log
 from .operators import diagnostics, market, memo, reports, scoring, stages, universe, views
+from .operators.orderings import settled
 from .plans import pipelines, policies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,11 +301,12 @@ def funnel_table(spark: SparkSession, d: str) -> DataFrame:
     return reports.funnel({"stage1": _stage1(spark, d), "stage2": _stage2(spark, d), "stage3": _stage3(spark, d)})
 
 
-@query(f"select k, stage1_status, stage2_status, stage3_status from (select k, stage1_status from {_S1} a where trim(ticker) <> '') x left join (select k, stage2_status from {_S2} b) y using (k) left join (select k, stage3_status from {_S3} c) z using (k) where stage1_status = 'PASSED'")
+@query(f"select k, stage1_status, stage2_status, case when stage2_status = 'PASSED' then stage3_status end as stage3_status from (select k, stage1_status from {_S1} a where trim(ticker) <> '') x left join (select k, stage2_status from {_S2} b) y using (k) left join (select k, stage3_status from {_S3} c) z using (k) where stage1_status = 'PASSED'")
 def funnel_chain(spark: SparkSession, d: str) -> DataFrame:
-    """Listings that pass Stage 1 with what Stages 2 and 3 say of them."""
-    one, two, three = _stage1(spark, d).where("stage1_status = 'PASSED' and trim(ticker) <> ''"), _stage2(spark, d), _stage3(spark, d)
-    return one.select("k", "stage1_status").join(two.select("k", "stage2_status"), "k", "left").join(three.select("k", "stage3_status"), "k", "left")
+    """What passes Stage 1, joined with its fundamentals, through Stage 2 and, if it passes that, Stage 3; the binding is made once."""
+    companies = settled(B.frame(spark, d, B.UNIVERSE))
+    fundamentals = spark.sql(B.FUNDAMENTALS.replace(B.UNIVERSE, "select * from {base}"), base=companies)
+    return pipelines.funnel_rows(companies, fundamentals).select("k", "stage1_status", "stage2_status", "stage3_status")
 
 
 # ---------------------------------------------------------------- prices, quality, filters, priority

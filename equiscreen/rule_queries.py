@@ -242,7 +242,7 @@ def local_reason(spark: SparkSession, d: str) -> DataFrame:
     return scored.select("input_ordinal", scoring.local_reason(scored).alias("reason"))
 
 
-@query("""select event_id, user_id as record_user, value as record_scores_risk_score, event_type as record_scores_kind, '["' || event_type || '","' || cast(user_id as varchar) || '"]' as record_tags, value as risk_score from events""")
+@query("""select event_id, user_id as record_user, value as record_scores_risk_score, event_type as record_scores_kind, '["' || event_type || '", "' || cast(user_id as varchar) || '"]' as record_tags, value as risk_score from events""")
 def flattened_records(spark: SparkSession, d: str) -> DataFrame:
     """F28."""
     return X.flattened(B.frame(spark, d, "select event_id, named_struct('user', user_id, 'scores', named_struct('risk_score', value, 'kind', event_type), 'tags', array(event_type, cast(user_id as string))) as record from {events}"))
@@ -252,8 +252,9 @@ _JSONS = """select event_id, user_id, event_type, case event_id % 5 when 0 then
 
 
 @query("""select event_id, case event_id % 5 when 3 then event_type when 4 then 'a|' || event_type || '|b' else 'none' end as items,
-sha256(cast(json_object('event_id', event_id, 'event_type', event_type, 'user_id', user_id) as varchar)) as memo_sha256 from events""")
+sha256('{{"event_id": ' || event_id || ', "event_type": "' || event_type || '", "user_id": ' || user_id || '}}') as memo_sha256 from events""")
 def json_fields(spark: SparkSession, d: str) -> DataFrame:
     """lists read with a fallback, and the hash of a record written with its keys sorted."""
     items = X.parsed_json(F.col("listed"), "array<string>", F.array(F.lit("none")))
-    return B.frame(spark, d, _JSONS).select("event_id", F.array_join(items, "|").alias("items"), F.sha2(X.sorted_json("user_id", "event_type", "event_id"), 256).alias("memo_sha256"))
+    rows = B.frame(spark, d, _JSONS)
+    return rows.select("event_id", F.array_join(items, "|").alias("items"), X.fingerprint(rows, "user_id", "event_type", "event_id").alias("memo_sha256"))

@@ -52,14 +52,15 @@ def test_review_counts_have_all_states(spark):
 def test_flattened_names_and_aliases(spark):
     df = spark.sql("select named_struct('m', named_struct('Risk_Score', 4, 'tags', array('a', 'b')), 'n', 1) as r, 2 as fcf_margin, 3 as x_fcf_margin")
     out = X.flattened(df).first().asDict()
-    assert out == {"r_m_Risk_Score": 4, "r_m_tags": '["a","b"]', "r_n": 1, "fcf_margin": 2, "x_fcf_margin": 3, "risk_score": 4}
+    assert out == {"r_m_Risk_Score": 4, "r_m_tags": '["a", "b"]', "r_n": 1, "fcf_margin": 2, "x_fcf_margin": 3, "risk_score": 4}
 
 
 def test_json_with_fallback(spark):
     df = spark.createDataFrame([("[1,2]",), ("",), (None,), ("[1",), ("x",)], "t string")
     assert [r.v for r in df.select(X.parsed_json(F.col("t"), "array<int>", F.array(F.lit(0))).alias("v")).collect()] == [[1, 2], [0], [0], [0], [0]]
-    row = spark.createDataFrame([(1, None)], "b int, a string").select(X.sorted_json("b", "a").alias("j")).first()
-    assert row.j == '{"a":null,"b":1}'
+    df = spark.createDataFrame([(1, None)], "b int, a string")
+    row = df.select(X.sorted_json(df, "b", "a").alias("j")).first()
+    assert row.j == '{"a": null, "b": 1}'
 
 
 def test_combined_summary(spark):
