@@ -48,11 +48,11 @@ select k as input_ordinal, ticker, company_name, company_name as name, exchange,
        case k % 3 when 0 then 'metadata_fallback' when 1 then 'manual_market_data.csv' else 'yfinance_cache' end as market_data_provider, case when k % 15 = 0 then 'timeout' else '' end as error
 from (""" + UNIVERSE + ") u where trim(ticker) <> ''"
 
-#: Fundamentals as given by hand; every third key has none, some have two rows.
+#: Fundamentals as given by hand: listings without a market value have none, those without a price two rows.
 MANUAL_FUNDAMENTALS = """
 select ticker, k + d * 1000000 as input_ordinal, m * 1e4 * (1 + k % 9) * (1 + d) as revenue, case when k % 10 = 0 then null else (k % 30 - 8) * 1e0 end as revenue_growth_yoy, case when k % 16 = 0 then null else (k % 75) * 1e0 end as gross_margin,
        (k % 55 - 12) * 1e0 as operating_margin, (k % 40 - 9) * 1e0 as net_margin, case when k % 18 = 0 then null else m * 1000e0 * (k % 21 - 5) end as free_cash_flow, m * 100e0 * (k % 6) as total_cash, case when k % 22 = 0 then null else m * 100e0 * (k % 13) end as total_debt
-from (""" + UNIVERSE + ") u cross join (select 0 as d union all select 1) dd where trim(ticker) <> '' and k % 3 <> 0 and (d = 0 or k % 10 = 1)"
+from (""" + UNIVERSE + ") u cross join (select 0 as d union all select 1) dd where trim(ticker) <> '' and market_cap is not null and (d = 0 or price is null)"
 
 #: Listings of two providers over nations: suppliers are the baseline, customers the candidates.
 BASELINE = "select 'N' || cast(s_nationkey % 12 as string) as exchange, 'S' || cast(s_suppkey % 90 as string) as ticker, 'ISIN' || cast(s_suppkey as string) as isin, s_name as company_name, s_suppkey as input_ordinal from {supplier}"

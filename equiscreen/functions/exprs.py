@@ -188,9 +188,14 @@ def isin_country(isin: Column | str) -> Column:
     return F.substring(F.upper(text(isin)), 1, 2)
 
 
-def derived_ratios(df: DataFrame) -> DataFrame:
-    """net debt, free cash flow margin and net debt to EBITDA where they are missing and can be had."""
-    out = df.withColumn("net_debt", F.coalesce(real("net_debt"), real("total_debt") - real("cash")))
+def derived_ratios(df: DataFrame, one_side: bool = False) -> DataFrame:
+    """net debt, free cash flow margin and net debt to EBITDA where they are missing and can be had.
+
+    With ``one_side``, debt or cash that is missing counts as 0 if the other is there.
+    """
+    debt, cash = real("total_debt"), real("cash")
+    known = F.when(debt.isNotNull() | cash.isNotNull(), F.coalesce(debt, F.lit(0.0)) - F.coalesce(cash, F.lit(0.0))) if one_side else debt - cash
+    out = df.withColumn("net_debt", F.coalesce(real("net_debt"), known))
     ratio = lambda x, y: F.when(real(y) != 0, real(x) / real(y))
     return out.withColumns({"fcf_margin": F.coalesce(real("fcf_margin"), ratio("free_cash_flow", "revenue_ttm")), "net_debt_to_ebitda": F.coalesce(real("net_debt_to_ebitda"), ratio("net_debt", "ebitda"))})
 

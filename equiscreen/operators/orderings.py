@@ -6,7 +6,7 @@ import re
 import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -17,17 +17,23 @@ SMALL, BINS = 10_000, 1024
 BROADCAST_ROWS = 400_000
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows with their lineage cut: a checkpoint in the folder that the cluster names, which driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir or the session's checkpoint folder names it.
 
     A temporary folder is made only where none is named and all of Spark is one process; elsewhere that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return named or sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows with their lineage cut: a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

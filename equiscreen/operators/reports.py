@@ -58,9 +58,16 @@ def missing_by_row(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(key, n.alias("missing_count"), F.concat_ws("|", *flags).alias("missing_columns"))
 
 
-def coverage_summary(coverage: DataFrame) -> DataFrame:
-    """A14."""
-    return coverage.agg(F.count(F.lit(1)).alias("columns"), F.avg("coverage_percent").alias("avg_coverage_percent"), F.min("coverage_percent").alias("min_coverage_percent"))
+def coverage_summary(coverage: DataFrame, core: list[str] | None = None) -> DataFrame:
+    """How well the ``core`` columns (all, unless told) are filled: their number, mean (0 of none) and how many are full."""
+    rows = coverage if core is None else coverage.where(F.col("column_name").isin(core))
+    return rows.agg(F.count(F.lit(1)).alias("columns"), F.coalesce(F.avg("coverage_percent"), F.lit(0.0)).alias("avg_coverage_percent"), F.count_if(F.col("coverage_percent") == 100).alias("full_columns"))
+
+
+def least_covered(coverage: DataFrame, core: list[str] | None = None, n: int = 10) -> DataFrame:
+    """The ``core`` columns that miss most (a report)."""
+    rows = coverage if core is None else coverage.where(F.col("column_name").isin(core))
+    return rows.orderBy("coverage_percent", "column_name").limit(n).select("column_name", "coverage_percent", "missing")
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -132,7 +139,7 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def cost_totals(df: DataFrame, cost: str = "cost", model: str = "model") -> DataFrame:
     """A27."""
-    return df.agg(F.count(F.lit(1)).alias("requests"), F.sum(F.coalesce(F.col(cost), F.lit(0.0))).alias("total_cost"), F.array_join(F.array_sort(F.collect_set(model)), ", ").alias("models"))
+    return df.agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum(cost), F.lit(0)).alias("total_cost"), F.array_join(F.array_sort(F.collect_set(model)), ", ").alias("models"))
 
 
 def spend(df: DataFrame, stamp: str, cost: str, unit: str, limit: float) -> DataFrame:

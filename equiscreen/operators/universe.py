@@ -109,6 +109,7 @@ def regex_taxonomy(*cols: Column | str) -> Column:
     return F.when(reason != "", made("excluded_non_common_equity", reason)).when(joined.rlike(EQUITY), made("equity_like_candidate", F.lit("equity_pattern"))).otherwise(made("manual_review_unknown_type", F.lit("insufficient_type_signal")))
 
 
+#: C13, C14, fixed values: subcategories and segments that are accepted, and words that are not.
 HKEX_ALLOWED = ("Equity Securities (Main Board)", "Equity Securities (GEM)", "Investment Companies", "Trading Only Securities")
 
 
@@ -123,6 +124,11 @@ JPX_SEGMENTS = ("primemarket(domestic)", "standardmarket(domestic)", "growthmark
 JPX_OTHER = ["etf", "etn", "reit", "venture fund", "country fund", "infrastructure fund", "preferred", "equity contribution", "investment trust", "fund", "warrant", "bond", "debt", "certificate"]
 
 
+def own_if_blank(key: Column, order: str) -> Column:
+    """A key for windows: blank keys, however many rows have one, are each row's own."""
+    return F.when(key != "", key).otherwise(F.concat(F.lit(" "), F.col(order).cast("string")))
+
+
 def jpx_decisions(df: DataFrame, baseline: DataFrame, order: str = "input_ordinal", exchange: str = "JPX") -> DataFrame:
     """``df`` (local_code, company_name, market_segment, industry) with its exclusion_reason, "" if accepted.
 
@@ -130,7 +136,7 @@ def jpx_decisions(df: DataFrame, baseline: DataFrame, order: str = "input_ordina
     """
     code, name, segment = F.upper(X.local_code("local_code")), X.text("company_name"), F.lower(F.regexp_replace(X.text("market_segment"), r"\s+", ""))
     named = (code != "") & (name != "")
-    seen = F.count(F.when(named, 1)).over(Window.partitionBy(code).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)) > 0
+    seen = F.count(F.when(named, 1)).over(Window.partitionBy(own_if_blank(code, order)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)) > 0
     base = baseline.where(F.upper(X.text("exchange")) == exchange).select(X.ticker("ticker").alias("__code")).distinct().withColumn("__in", F.lit(True))
     rows = df.withColumns({"__seen": seen, "__code": code}).join(base, "__code", "left")
     blob = F.lower(F.concat_ws(" ", X.text("market_segment"), X.text("industry"), name))
@@ -187,8 +193,8 @@ def dedupe_labelled(df: DataFrame, keys: list[str], order: str = "input_ordinal"
 
 
 def duplicates_of_accepted(df: DataFrame, key: str, eligible: str, order: str = "input_ordinal") -> DataFrame:
-    """is_duplicate where an earlier row of the same key was eligible; only accepted rows count as seen."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    """is_duplicate where an earlier row of the same key was eligible; only accepted rows count as seen, blank keys are nobody's."""
+    w = Window.partitionBy(own_if_blank(F.coalesce(F.col(key).cast("string"), F.lit("")), order)).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("is_duplicate", F.coalesce(F.max(F.col(eligible).cast("int")).over(w), F.lit(0)) == 1)
 
 
@@ -245,12 +251,13 @@ def clean_universe(df: DataFrame, order: str = "input_ordinal") -> DataFrame:
     return rows.where("country = 'USA' and currency = 'USD' and asset_type = 'common_stock' and is_active")
 
 
-def listing_filter(df: DataFrame, symbol: str = "symbol", etf: str = "etf", test: str = "test_issue", etfs: bool = False, tests: bool = False) -> DataFrame:
-    """Without ETFs, test issues, odd symbols and the directory's footer."""
+def listing_filter(df: DataFrame, symbol: str = "symbol", etf: str = "etf", test: str = "test_issue", etfs: bool = False, tests: bool = False, order: str = "input_ordinal") -> DataFrame:
+    """Without ETFs, test issues, odd symbols and the directory's footer; of what is left, the first row of each symbol."""
     flag = lambda c: F.upper(X.text(c)) == "Y"
     out = df.where((X.text(symbol) != "") & ~X.text(symbol).rlike(r"[$^/]") & ~F.lower(X.text(symbol)).contains("file creation time"))
     out = out if etfs else out.where(~flag(etf))
-    return out if tests else out.where(~flag(test))
+    out = out if tests else out.where(~flag(test))
+    return dedupe_first(out.withColumn("__symbol", X.text(symbol)), ["__symbol"], order).drop("__symbol")
 
 
 def looks_like_ticker(c: Column) -> Column:

@@ -121,10 +121,10 @@ def provider_validation(candidates: DataFrame, baseline: DataFrame, keys: list[s
     return out.withColumn("status", reports.gate([("EMPTY", F.col("candidate_rows") == 0), ("NO_GAIN", F.col("net_new_keys") == 0)], "READY"))
 
 
-def coverage_report(df: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """X11."""
+def coverage_report(df: DataFrame, key: str, columns: list[str], core: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Coverage by column, what each row lacks, the summary of the core columns and those that miss most."""
     coverage = reports.column_coverage(df, columns)
-    return coverage, reports.missing_by_row(df, key, columns), reports.coverage_summary(coverage)
+    return coverage, reports.missing_by_row(df, key, columns), reports.coverage_summary(coverage, core), reports.least_covered(coverage, core)
 
 
 def stage1_diagnostic(classified: DataFrame) -> dict[str, DataFrame]:
