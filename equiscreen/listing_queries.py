@@ -315,6 +315,42 @@ def net_debt_one_side(spark: SparkSession, d: str) -> DataFrame:
     return X.derived_ratios(df, one_side=True).select("k", "net_debt")
 
 
+# ---------------------------------------------------------------- memos
+
+#: Every metric of the seven modules, each missing in rows of its own.
+_METRICS = ("revenue_growth", "gross_margin", "operating_margin", "net_margin", "roe", "roa", "debt_to_equity", "current_ratio", "free_cash_flow", "pe", "price_to_sales", "price_to_book", "ev_to_ebitda", "fcf_yield", "beta", "volatility",
+            "max_drawdown", "short_ratio", "roic", "earnings_growth", "ebitda_growth", "free_cash_flow_growth", "analyst_growth", "institutional_ownership", "insider_ownership", "analyst_count", "recommendation_mean", "eps_growth", "earnings_surprise")
+_SPREAD = {"debt_to_equity": "(k % 300) * 1e0", "current_ratio": "(k % 32) / 1e1", "beta": "(k % 25) / 1e1", "max_drawdown": "(k % 80) * -1e0", "recommendation_mean": "1e0 + (k % 9) / 2e0", "short_ratio": "(k % 11) * 1e0"}
+_MODS = "select k, market_cap, case when k % 7 < 4 then '2025-01-01' else ' ' end as next_earnings_date, " + ", ".join(f"case when (k + {i}) % {3 + i % 5} = 0 then null else {_SPREAD.get(m, f'((k + {i}) % {70 + i}) * 1e0 - 9e0')} end as {m}" for i, m in enumerate(_METRICS)) + f" from ({B.UNIVERSE}) u"
+_up = lambda c, rungs, last: f"case when {c} is null then null " + " ".join(f"when {c} >= {x} then {y}e0" for x, y in rungs) + f" else {last}e0 end"
+_down = lambda c, rungs, last: f"case when {c} is null then null " + " ".join(f"when {c} <= {x} then {y}e0" for x, y in rungs) + f" else {last}e0 end"
+_multiple = lambda c, *x: f"case when {c} is null or {c} <= 0 then null " + " ".join(f"when {c} <= {a} then {b}e0" for a, b in zip(x, (85, 70, 45), strict=True)) + " else 25e0 end"
+_held = lambda c, low, high, good, under, over: f"case when {c} is null then null when {c} between {low} and {high} then {good}e0 when {c} < {low} then {under}e0 else {over}e0 end"
+_HEALTH = ((25, 90), (10, 75), (0, 55))
+_MODULE_SQL = {
+    "financial_health": (6, [_up(c, _HEALTH, 35) for c in ("revenue_growth", "operating_margin", "roe")] + [_up("gross_margin", ((65, 90), (40, 75), (20, 55)), 35), _up("net_margin", ((20, 90), (8, 75), (0, 55)), 35), _up("roa", ((12, 90), (5, 75), (0, 55)), 35), _down("debt_to_equity", ((50, 85), (120, 65), (250, 45)), 25), _up("current_ratio", ((2.5, 90), (1.5, 75), (1, 55)), 35), _up("free_cash_flow", ((10, 90), (1, 75), (0, 55)), 35)]),
+    "valuation_analysis": (4, [_multiple("pe", 12, 25, 45), _multiple("price_to_sales", 3, 8, 15), _multiple("price_to_book", 2, 5, 10), _multiple("ev_to_ebitda", 8, 16, 30), _up("fcf_yield", ((8, 85), (4, 70), (0, 45)), 25)]),
+    "risk_analysis": (5, [_down("beta", ((0.9, 85), (1.3, 65), (1.8, 45)), 25), _down("volatility", ((25, 85), (45, 65), (70, 40)), 20), _up("max_drawdown", ((-20, 85), (-40, 65), (-60, 40)), 20), _down("debt_to_equity", ((50, 85), (120, 65), (250, 40)), 20), _down("short_ratio", ((3, 80), (7, 60)), 35), _up("current_ratio", ((1.5, 80), (1, 60)), 30), _up("market_cap", ((2000000000, 75), (300000000, 55)), 35)]),
+    "moat_analysis": (4, [_up("gross_margin", ((65, 85), (40, 70), (20, 45)), 25), _up("operating_margin", ((25, 85), (12, 70), (0, 45)), 25), _up("roe", ((25, 85), (12, 70), (0, 45)), 25), _up("roic", ((18, 85), (10, 70), (0, 45)), 25), _up("revenue_growth", ((10, 75), (0, 55)), 30)]),
+    "growth_analysis": (4, [_up(c, ((30, 90), (15, 75), (0, 55)), 30) for c in ("revenue_growth", "earnings_growth", "ebitda_growth", "free_cash_flow_growth", "analyst_growth")]),
+    "institutional_view": (3, [_held("institutional_ownership", 20, 85, 80, 60, 45), _held("insider_ownership", 2, 35, 75, 55, 45), _up("analyst_count", ((10, 80), (4, 65)), 45), _down("recommendation_mean", ((2, 80), (3, 60)), 35)]),
+    "earnings_analysis": (3, [_up("eps_growth", ((20, 85), (5, 70), (0, 45)), 25), _up("revenue_growth", ((15, 80), (5, 65), (0, 45)), 25), _up("earnings_surprise", ((5, 80), (0, 60)), 35)]),
+}
+
+
+def _module(name: str, limit: int, parts: list[str]) -> str:
+    gaps = " + ".join(f"case when ({p}) is null then 1 else 0 end" for p in parts) + (" + case when trim(next_earnings_date) = '' then 1 else 0 end" if name == "earnings_analysis" else "")
+    there = " + ".join(f"case when ({p}) is null then 0 else 1 end" for p in parts)
+    score = r2(f"({' + '.join(f'coalesce({p}, 0e0)' for p in parts)}) / nullif({there}, 0)")
+    return f"{score} as {name}_score, case when ({there}) = 0 or ({gaps}) >= {limit} then 'data_insufficient' else 'ok' end as {name}_status"
+
+
+@query(f"select k, {', '.join(_module(m, *x) for m, x in _MODULE_SQL.items())} from ({_MODS}) m")
+def memo_modules(spark: SparkSession, d: str) -> DataFrame:
+    """The scores and states of all seven modules."""
+    return memo.memo_scores(B.frame(spark, d, _MODS)).select("k", *[f"{m}_{x}" for m in _MODULE_SQL for x in ("score", "status")])
+
+
 # ---------------------------------------------------------------- files and tables, written and read again
 
 
