@@ -98,6 +98,16 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
     return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of weights ``w`` with logistic loss, and the direction of its descent: where the part of the
+    negatives, estimated as the unlabelled less the prior's share of positives, falls below 0, that part counts as 0 and the step goes back up it."""
+    fp, fu = p @ w, u @ w
+    rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    pull = -prior * (p.T @ _sigmoid(-fp)) / len(p)
+    push = (u.T @ _sigmoid(fu)) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
+    return prior * np.logaddexp(0, -fp).mean() + max(0.0, rest), (pull + push) if rest >= 0 else -push
+
+
 def fit(p: np.ndarray, u: np.ndarray, steps: int = 600, rate: float = 0.1, ridge: float = 1e-4) -> Model:
     """``p`` and ``u``: features of positive and unlabelled documents."""
     size = p.shape[1] if p.ndim == 2 else 256 + SHAPES
@@ -112,13 +122,7 @@ def fit(p: np.ndarray, u: np.ndarray, steps: int = 600, rate: float = 0.1, ridge
     first = _descend(half, size + 1, steps // 2, rate)
     prior = estimate_prior(p2 @ first, u2 @ first)
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        fp, fu = p @ w, u @ w
-        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        pull = -prior * (p.T @ _sigmoid(-fp)) / len(p)
-        push = (u.T @ _sigmoid(fu)) / len(u) - prior * (p.T @ _sigmoid(fp)) / len(p)
-        return ((pull + push) if rest >= 0 else -push) + ridge * w
-
+    gradient = lambda w: risk_gradient(w, p, u, prior)[1] + ridge * w
     return Model(mean, scale, _descend(gradient, size + 1, steps, rate), prior)
 
 
@@ -137,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, max_positive: int =
     small_batches(docs.sparkSession)
     pick = F.xxhash64(F.lit("pu"), "doc_id")
     good = labels.groupBy("doc_id").agg(F.avg("quality").alias("q")).where(fold & F.col("doc_id").isNotNull() & (F.col("q") >= 0.5)).orderBy(pick).limit(max_positive).select("doc_id")
-    web = docs.select("doc_id").where(fold & F.col("doc_id").isNotNull()).orderBy(pick).limit(max_unlabelled).distinct()
+    web = docs.select("doc_id").where(fold & F.col("doc_id").isNotNull()).distinct().orderBy(pick).limit(max_unlabelled)
     return fit(*(_featurised(chosen_rows(docs, ids, most)) for ids, most in ((good, max_positive), (web, max_unlabelled))))
 
 

@@ -6,8 +6,8 @@ room.  The bounded loads are n // shards or one more, so row counts differ by at
 
 Scale: rows are reduced to (id, size, crc) in one scan.  Everything that decides who overflows is counts of
 at most ``shards * vnodes`` arcs, so a few hundred numbers are walked whatever the input's size; the rows
-themselves are numbered in windows of (arc, salt, sub), which split any hot key, and meet two small tables
-whose size is bounded by the parameters.
+themselves are numbered in windows of (arc, salt, sub), into more of which a hot key is split the more rows it has, and meet two small
+tables: one of a size that the parameters bound, and a row for each window.
 
 Defined results: null text has size 1 and crc32 of the empty text; a null id is a key like any other;
 repeated rows are placed one by one; very long texts count whole; an empty table gives an empty result; other columns are ignored.
@@ -20,12 +20,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, maybe_broadcast
 
 #: Places on the ring; a virtual node or a key has one of them.
 RING = 1 << 16
-#: Salts by key and by row: the windows that number rows are split in SALTS * SUBS parts an arc.
-SALTS, SUBS = 16, 8
+#: Salts by key; the rows of an arc and salt are numbered in more parts, by row, the more they are: about PART rows each.
+SALTS, PART = 16, 500_000
 
 
 def ring_table(spark: SparkSession, shards: int, vnodes: int) -> DataFrame:
@@ -92,7 +92,7 @@ def walk_ring(arcs: list[tuple[int, int, int]], shards: int) -> list[dict]:
     return plan
 
 
-def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64, part: int = PART) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, home_shard for every row of ``docs``."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -107,9 +107,11 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64) -> DataFrame:
     keyed = (
         rows.withColumn("place", F.pmod(F.xxhash64(F.lit("key"), "doc_id"), F.lit(RING)))
         .withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).cast("int"))
-        .withColumn("sub", F.pmod(F.xxhash64("uid"), F.lit(SUBS)).cast("int"))
         .join(F.broadcast(ring), "place")
     )
+    loads = keyed.groupBy("arc", "salt").agg(F.ceil(F.count(F.lit(1)) / part).alias("parts"))
+    loads = materialise(loads, "ring-loads")  # at most shards * vnodes * SALTS rows
+    keyed = keyed.join(F.broadcast(loads), ["arc", "salt"]).withColumn("sub", F.pmod(F.xxhash64("uid"), "parts").cast("int")).drop("parts")
     counts = materialise(keyed.groupBy("arc", "salt", "sub").agg(F.count(F.lit(1)).alias("n")), "ring-counts")
     have = {r["arc"]: r["n"] for r in counts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # at most shards * vnodes rows
     arcs = [(r["arc"], r["arc_shard"], have.get(r["arc"], 0)) for r in ring.select("arc", "arc_shard").distinct().collect()]
@@ -125,7 +127,7 @@ def shard(docs: DataFrame, shards: int = 8, vnodes: int = 64) -> DataFrame:
     span = F.filter("spans", lambda x: (F.col("rank") >= x["from"]) & (F.col("rank") < x["to"]))[0]
     return (
         keyed.withColumn("number", number)
-        .join(F.broadcast(starts), ["arc", "salt", "sub"])  # at most shards * vnodes * SALTS * SUBS rows
+        .join(maybe_broadcast(starts), ["arc", "salt", "sub"])  # at most shards * vnodes * SALTS rows, and one more for each ``part`` rows
         .join(F.broadcast(spans), "arc")
         .withColumn("rank", F.col("start") + F.col("number"))
         .withColumn("span", span)

@@ -82,12 +82,18 @@ def pack_bits(data: bytes) -> bytes:
 CLEAR, END = 256, 257
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, need: int | None = None) -> bytes:
+    """What ``data`` unpacks to; little more than ``need`` bytes of it, if that is given, whatever the codes say."""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
     table, out = list(base), []
+    made = met = 0  # bytes of the first words
     buffer = held = 0
     width, last = 9, b""
-    for byte in data:
+    for at, byte in enumerate(data):
+        if not at & 1023 and need is not None:
+            made, met = made + sum(map(len, out[met:])), len(out)
+            if made >= need:
+                break
         buffer, held = (buffer << 8) | byte, held + 8
         if held < width:
             continue
@@ -148,9 +154,13 @@ def _unpacked(data: bytes, compression: int, size: int) -> bytes:
     if compression == PLAIN:
         return data
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, size)
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        stream = zlib.decompressobj()
+        out = stream.decompress(data, max(size, 1))
+        if len(out) < size and not stream.eof:
+            raise ValueError("deflate data end too early")
+        return out
     if compression == PACKBITS:
         return unpack_bits(data, size)
     raise ValueError(f"compression {compression}")
@@ -285,10 +295,15 @@ def feature(pages: list[Page]) -> str:
 
 
 def pages(media: DataFrame, raw: str = "media") -> DataFrame:
-    """One row a page: the other columns of ``media``, then page, width, height, samples, bits, compression, predictor, tiled, pixels, error."""
+    """One row a page: the other columns of ``media``, then page, width, height, samples, bits, compression, predictor, tiled, pixels, error.
+
+    Other columns that have a page column's name come as ``media_<name>``.
+    """
     keep = [c for c in media.columns if c != raw]
     kinds = [("page", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.string()), ("predictor", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string())]
 
+    labels = [f"media_{c}" if c in dict(kinds) else c for c in keep]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, data in enumerate(b.column(raw).to_pylist()):
@@ -303,10 +318,10 @@ def pages(media: DataFrame, raw: str = "media") -> DataFrame:
                 if not rows:
                     continue
                 own = [pa.array([b.column(c)[i].as_py()] * len(rows), b.schema.field(c).type) for c in keep]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*keep, *(n for n, _ in kinds)])
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*labels, *(n for n, _ in kinds)])
 
     fields = {f.name: f.dataType.simpleString() for f in media.schema}
-    out = ", ".join([f"`{c}` {fields[c]}" for c in keep] + ["page int, width int, height int, samples int, bits int, compression string, predictor int, tiled boolean, pixels binary, error string"])
+    out = ", ".join([f"`{n}` {fields[c]}" for c, n in zip(keep, labels, strict=True)] + ["page int, width int, height int, samples int, bits int, compression string, predictor int, tiled boolean, pixels binary, error string"])
     return media.mapInArrow(run, out)
 
 

@@ -15,10 +15,8 @@ occurrences and can say at once what it costs in each document; sums for documen
 Neither words nor counts come to the driver; only V does.  A gram has one entry a document, 10 bytes, whatever it is.
 Texts are not shuffled unless the target's ids are too many to broadcast.
 
-``train``, ``losses`` and ``score`` are the same for byte trigrams, whose model is a table of at most 2**24 cells;
-``report`` does not use them.
-
-Defined results: null text is empty and has its end token only; without a target corpus its model is uniform; a null id is never in the target;
+Defined results: null text is empty and has its end token only; very long texts count whole; repeated rows are counted and scored one
+by one; an empty table gives no rows; without a target corpus its model is uniform; a null id is never in the target;
 a document that is labelled more than once is in the target if most of its labels are 1; other columns are ignored.
 """
 
@@ -35,84 +33,6 @@ from pyspark.sql import functions as F
 from .common import maybe_broadcast
 from .jaccard_join import _TURN, WordHashes, _mixed, words_of
 
-SIZE = 256
-
-
-def codes_of(text: str | None) -> np.ndarray:
-    """The trigrams of a text, one for each token."""
-    raw = np.frombuffer(b"\0\0" + (text or "").encode("utf-8", "surrogatepass") + b"\0", np.uint8).astype(np.int32)
-    return (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-
-
-def losses(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Cost in nats of every trigram, a table of SIZE ** 3 float32, from the trigrams that occur and their counts."""
-    a, c = codes >> 8, codes & 0xFF
-    pairs, at = np.unique(codes & 0xFFFF, return_inverse=True)  # the last two tokens
-    n2 = np.bincount(at, counts, minlength=len(pairs))
-    n1 = np.bincount(c, counts, minlength=SIZE)
-    p1 = (n1 + 1) / (n1.sum() + SIZE)
-    context1 = np.bincount(pairs >> 8, n2, minlength=SIZE)
-    kinds1 = np.bincount(pairs >> 8, minlength=SIZE)
-    rest1 = np.where(context1 > 0, kinds1 / np.maximum(context1 + kinds1, 1), 1.0)
-    p2 = rest1[:, None] * p1[None, :]
-    p2[pairs >> 8, pairs & 0xFF] += n2 / (context1 + kinds1)[pairs >> 8]
-    context2 = np.bincount(a, counts, minlength=SIZE * SIZE)
-    kinds2 = np.bincount(a, minlength=SIZE * SIZE)
-    rest2 = np.where(context2 > 0, kinds2 / np.maximum(context2 + kinds2, 1), 1.0)
-    table = (rest2.reshape(SIZE, SIZE, 1) * p2[None, :, :]).astype(np.float32).ravel()
-    table[codes] += (counts / (context2 + kinds2)[a]).astype(np.float32)
-    np.log(table, out=table)
-    return np.negative(table, out=table)
-
-
-def trigram_counts(docs: DataFrame) -> DataFrame:
-    """code, target, background: how often each trigram occurs in the rows that are in the target (column ``target``) and in the others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.int32), np.zeros((0, 2), np.int64)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                sides: list[list[np.ndarray]] = [[], []]
-                for t, y in zip(b.column("text").to_pylist(), b.column("target").to_pylist(), strict=True):
-                    sides[0 if y else 1].append(codes_of(t))
-                found = [np.unique(np.concatenate(s), return_counts=True) if s else (np.zeros(0, np.int32), np.zeros(0, np.int64)) for s in sides]
-                both, place = np.unique(np.concatenate([codes, found[0][0], found[1][0]]), return_inverse=True)
-                total = np.zeros((len(both), 2), np.int64)
-                total[place[: len(codes)]] = counts
-                total[place[len(codes) : len(codes) + len(found[0][0])], 0] += found[0][1]
-                total[place[len(codes) + len(found[0][0]) :], 1] += found[1][1]
-                codes, counts = both, total
-        yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int32()), pa.array(counts[:, 0]), pa.array(counts[:, 1])], names=["code", "target", "background"])
-
-    return docs.select("text", "target").mapInArrow(run, "code int, target long, background long").groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def train(docs: DataFrame, target_ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and their counts in documents named by ``target_ids`` (distinct doc_id) and in all others."""
-    marked = docs.select("doc_id", "text").join(maybe_broadcast(target_ids.withColumn("target", F.lit(True))), "doc_id", "left")
-    got = trigram_counts(marked).toArrow()  # at most SIZE ** 3 rows
-    return tuple(np.array(got.column(c)) for c in ("code", "target", "background"))
-
-
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, difference (losses are means per token) for every row of ``docs``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, target, background = held.value
-        tables = [losses(codes[n > 0], n[n > 0]) for n in (target, background)]
-        for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                c = codes_of(t)
-                rows.append((len(c), float(tables[0][c].mean(dtype=np.float64)), float(tables[1][c].mean(dtype=np.float64))))
-            n, x, y = (np.array(v) for v in zip(*rows, strict=True)) if rows else ([], np.zeros(0), np.zeros(0))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(x), pa.array(y), pa.array(x - y)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
-
-
 #: What is added to each count of a bigram.
 ADD = 0.1
 #: Documents in a batch; their places and twice these fit a short.

@@ -327,20 +327,6 @@ def test_tokens(docs, pairs):
     assert Counter((r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in trie_tokens.count_tokens(docs, P.path("piece_bpe_32k.model")).collect()) == want
 
 
-def test_xent(spark, docs, pairs):
-    ids = spark.createDataFrame([(i,) for i in range(60, 80)], "doc_id long")
-    codes, target, background = xent_scoring.train(docs, ids)
-    want = [Counter(), Counter()]
-    for d, t in pairs:
-        want[0 if d is not None and 60 <= d < 80 else 1].update(xent_scoring.codes_of(t).tolist())
-    assert {c: n for c, n in zip(codes.tolist(), target.tolist(), strict=True) if n} == want[0] and {c: n for c, n in zip(codes.tolist(), background.tolist(), strict=True) if n} == want[1]
-    table = xent_scoring.losses(codes[target > 0], target[target > 0])
-    assert np.allclose(np.exp(-table.reshape(-1, 256).astype(float)).sum(1), 1, atol=1e-4)
-    rows = {r["doc_id"]: r for r in xent_scoring.score(docs, (codes, target, background)).collect()}
-    assert abs(rows[70]["target_loss"] - table[xent_scoring.codes_of(dict(pairs)[70])].astype(float).mean()) < 1e-9
-    assert len(xent_scoring.codes_of(None)) == 1
-
-
 def test_xent_words(spark, docs, pairs):
     """Word bigrams of all documents; a word order that byte trigrams hardly see is told apart."""
     labels = spark.createDataFrame([(i, 1) for i in range(60, 80)], "doc_id long, quality int")
@@ -410,16 +396,87 @@ def test_sharding_ends_where_a_shard_has_no_arc():
 
 
 def test_ring_against_plain_ring():
-    """Rows one after the other: home, or clockwise on to the first shard with room."""
+    """Every key is walked by itself: in a round to the next arc clockwise, its own included, whose shard has room."""
     r = random.Random(8)
     for _ in range(20):
         arcs = [(i, r.randrange(4), r.randrange(30)) for i in range(32)] + [(32 + i, i, 3) for i in range(4)]
-        total = sum(n for _, _, n in arcs)
+        total, n = sum(k for _, _, k in arcs), len(arcs)
         room = [total // 4 + (s < total % 4) for s in range(4)]
-        load = Counter()
-        for p in ring_sharding.walk_ring(arcs, 4):
-            load[p["shard"]] += p["to"] - p["from"]
-        assert [load[s] for s in range(4)] == room
+        waiting, want = [(i, k) for i, (_, _, m) in enumerate(arcs) for k in range(m)], {}
+        while waiting:
+            offers = []
+            for i, k in waiting:
+                far = next(j for j in range(n) if room[arcs[(i + j) % n][1]])
+                offers.append(((i + far) % n, far, i, k))
+            waiting = []
+            for target, _, i, k in sorted(offers):
+                s = arcs[target][1]
+                if room[s]:
+                    room[s] -= 1
+                    want[i, k] = s
+                else:
+                    waiting.append((i, k))
+        got = {(p["arc"], k): p["shard"] for p in ring_sharding.walk_ring(arcs, 4) for k in range(p["from"], p["to"])}
+        assert got == want
+
+
+def test_ring_splits_a_hot_key(spark):
+    """An id that most rows have is numbered in parts, and slots stay gapless."""
+    docs = spark.createDataFrame([(None if i % 3 else i, f"t{i % 7}") for i in range(3000)], "doc_id long, text string")
+    rows = ring_sharding.shard(docs, part=50).collect()
+    count = Counter(r["shard"] for r in rows)
+    assert len(rows) == 3000 and max(count.values()) - min(count.values()) <= 1
+    for s in count:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(count[s]))
+
+
+def test_risk_and_its_gradient():
+    """The non-negative risk against its definition, its gradient against differences, and the prior of a known mixture."""
+    r = np.random.default_rng(3)
+    p, u = r.normal(1, 1, (40, 5)), r.normal(-1, 1, (70, 5))
+    loss = lambda f: np.log1p(np.exp(-f))
+    for prior in (0.1, 0.95):
+        for w in (np.zeros(5), r.normal(0, 1, 5), np.full(5, 3.0)):
+            rest = loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean()
+            risk, step = pu_quality.risk_gradient(w, p, u, prior)
+            assert abs(risk - (prior * loss(p @ w).mean() + max(0, rest))) < 1e-9
+            part = (lambda v: prior * loss(p @ v).mean() + loss(-(u @ v)).mean() - prior * loss(-(p @ v)).mean()) if rest >= 0 else (lambda v: prior * loss(-(p @ v)).mean() - loss(-(u @ v)).mean())
+            slopes = [(part(w + 1e-6 * e) - part(w - 1e-6 * e)) / 2e-6 for e in np.eye(5)]
+            assert np.allclose(step, slopes, atol=1e-5)
+    good, other = r.normal(3, 1, 4000), r.normal(-3, 1, 4000)
+    mixed = np.concatenate([good[:1200], other[:2800]])
+    assert abs(pu_quality.estimate_prior(r.normal(3, 1, 4000), mixed) - 0.3) < 0.05
+
+
+def test_unlabelled_sample_where_one_id_has_most_rows(spark):
+    """The bound on unlabelled ids counts ids, not rows."""
+    hot = spark.range(60).orderBy(pu_quality.F.xxhash64(pu_quality.F.lit("pu"), "id")).first()["id"]  # comes first in the sample's order
+    docs = spark.createDataFrame([(hot, f"row {i}") for i in range(3000)] + [(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    seen = []
+    whole = pu_quality.chosen_rows
+    try:
+        pu_quality.chosen_rows = lambda d, ids, most: (seen.append(ids.count()), whole(d, ids, most))[1]
+        pu_quality.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"), pu_quality.F.lit(True), 10, 50)
+    finally:
+        pu_quality.chosen_rows = whole
+    assert seen == [1, 50]
+
+
+def test_tiff_bombs_are_unpacked_no_further_than_needed():
+    import zlib
+
+    size = 576 * 16
+    assert len(tiff_media._unpacked(zlib.compress(b"\0" * 50_000_000), tiff_media.DEFLATE, size)) == size
+    bomb = tiff_media.lzw_encode(b"\0" * 20_000_000)
+    assert size <= len(tiff_media.lzw_decode(bomb, size)) < 8_000_000 < 20_000_000 == len(tiff_media.lzw_decode(bomb))
+    with pytest.raises(ValueError, match="too early"):
+        tiff_media._unpacked(zlib.compress(random.Random(1).randbytes(9000))[:500], tiff_media.DEFLATE, size)
+
+
+def test_tiff_pages_of_tables_with_clashing_names(spark):
+    df = spark.createDataFrame([(3, "w", bytearray(tiff_media.store(b"\xff" * 576)))], "page int, width string, media binary")
+    row = tiff_media.pages(df).first()
+    assert (row["media_page"], row["media_width"], row["page"]) == (3, "w", 0) and row["width"] > 0
 
 
 def test_samples_are_bounded_where_ids_repeat(spark):
