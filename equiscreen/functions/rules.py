@@ -12,6 +12,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reason_texts import REASON_TEXTS
+
 REJECT, WATCH, WARN = "REJECTED", "WATCHLIST", "WARNING"
 REASON = "struct<code:string,text:string,metric:string,value:string,threshold:string,severity:string,recoverable:boolean>"
 
@@ -32,7 +34,7 @@ class Rule:
         threshold = "|".join(sorted(self.threshold)) if isinstance(self.threshold, (set, frozenset, list, tuple)) else str(self.threshold)
         value = F.lit(None).cast("string") if self.value is None else self.value.cast("string")
         made = F.struct(
-            F.lit(self.code).alias("code"), F.lit(self.text).alias("text"), F.lit(self.metric).alias("metric"), value.alias("value"),
+            F.lit(self.code).alias("code"), F.lit(self.text or REASON_TEXTS.get(self.code, "")).alias("text"), F.lit(self.metric).alias("metric"), value.alias("value"),
             F.lit(threshold).alias("threshold"), F.lit(self.severity).alias("severity"), F.lit(self.recoverable).alias("recoverable"),
         )
         return F.when(self.when, made)

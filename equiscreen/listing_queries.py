@@ -351,6 +351,55 @@ def memo_modules(spark: SparkSession, d: str) -> DataFrame:
     return memo.memo_scores(B.frame(spark, d, _MODS)).select("k", *[f"{m}_{x}" for m in _MODULE_SQL for x in ("score", "status")])
 
 
+# ---------------------------------------------------------------- queues, records, decisions, key sets, texts
+
+_QUEUE = "select c_custkey as k, case when c_nationkey = 7 then null else c_acctbal / 100e0 end as score, case c_custkey % 6 when 0 then 'approved' when 1 then 'Reviewed' when 2 then 'IN_PROGRESS' when 3 then 'discarded' when 4 then null else '' end as research, case c_custkey % 5 when 0 then 'done' when 1 then 'in_progress' when 2 then 'Approved' else null end as manual from {customer}"
+_QS = f"""(select *, case when upper(coalesce(research, '')) in ('APPROVED', 'REVIEWED') and upper(coalesce(manual, '')) in ('DONE', 'REVIEWED', 'APPROVED') then 'REVIEWED' when upper(coalesce(research, '')) = 'IN_PROGRESS' or upper(coalesce(manual, '')) = 'IN_PROGRESS' then 'IN_PROGRESS' when upper(coalesce(research, '')) in ('REJECTED', 'DISCARDED') then 'REJECTED' else 'PENDING_REVIEW' end as state from ({_QUEUE}) q)"""
+
+
+@query(f"select k, state, case when score is null then 'UNKNOWN_SCORE' when score >= 85 and state = 'PENDING_REVIEW' then 'HIGH_SCORE_PENDING_REVIEW' when score >= 70 and state = 'PENDING_REVIEW' then 'MEDIUM_SCORE_PENDING_REVIEW' when state = 'REVIEWED' then 'REVIEWED' else 'WATCH' end as flag from {_QS} s")
+def review_priorities(spark: SparkSession, d: str) -> DataFrame:
+    """The comparison's states and flags."""
+    rows = B.frame(spark, d, _QUEUE).withColumn("state", views.decision_status(F.col("research"), F.col("manual")))
+    return rows.select("k", "state", views.priority_flag(F.col("score"), F.col("state")).alias("flag"))
+
+
+@query("select event_id as id, value as record_scores_risk, event_type as record_kind, case event_id % 3 when 0 then 0 when 1 then 1 else 2 end as n_sources from events")
+def analysis_rows(spark: SparkSession, d: str) -> DataFrame:
+    """P20: a nested record as a flat row, with the size of its list of sources."""
+    sql = "select event_id as id, named_struct('scores', named_struct('risk', value), 'kind', event_type) as record, case event_id % 3 when 0 then null when 1 then array('a') else array('a', event_type) end as sources from {events}"
+    return views.flat_records(B.frame(spark, d, sql), "record", {"n_sources": "sources"}, ["id"])
+
+
+@query(f"select k, stage1_status as decision from {_S1} s where stage1_status in ('PASSED', 'REJECTED')")
+def stage_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Two outputs of a stage in one table."""
+    rows = _stage1(spark, d)
+    return views.stage_decisions({s: rows.where(F.col("stage1_status") == s) for s in ("PASSED", "REJECTED")}, "k")
+
+
+@query(f"select exchange, ticker from ({B.CANDIDATES}) c except select exchange, ticker from ({B.BASELINE}) b")
+def keys_not_in_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """U5."""
+    return views.keys_not_in(B.frame(spark, d, B.CANDIDATES), B.frame(spark, d, B.BASELINE), "exchange", "ticker")
+
+
+_ORDERED = "select c_custkey as k, case when c_nationkey < 5 then null else cast(floor(c_acctbal / 50) as int) end as confidence, c_nationkey as quality from {customer}"
+
+
+@query(f"select k, confidence, quality from ({_ORDERED}) o order by confidence desc nulls last, quality desc nulls last, k limit 50")
+def confident_first(spark: SparkSession, d: str) -> DataFrame:
+    """Missing values last (the limit is the feature)."""
+    return views.top(B.frame(spark, d, _ORDERED), 50, F.desc_nulls_last("confidence"), F.desc_nulls_last("quality"), key="k")
+
+
+@query("""select c_custkey as k, case when c_custkey % 3 = 0 then cast(c_custkey as varchar) else 'x' || c_custkey end as code, case when c_nationkey = 4 then '' when abs(v) >= 1000000000 then '$' || printf('%.2f', v / 1000000000) || 'B' when abs(v) >= 1000000 then '$' || printf('%.2f', v / 1000000) || 'M' else '$' || format('{{:,.2f}}', v) end as usd from (select *, cast(c_custkey as double) * c_custkey * 1024 as v from customer) c""")
+def formatted(spark: SparkSession, d: str) -> DataFrame:
+    """local codes and compact amounts."""
+    rows = B.frame(spark, d, "select c_custkey as k, case when c_custkey % 3 = 0 then ' ' || cast(c_custkey as string) || '.0' else 'x' || cast(c_custkey as string) end as raw, case when c_nationkey = 4 then null else cast(c_custkey as double) * c_custkey * 1024 end as v from {customer}")
+    return rows.select("k", X.local_code("raw").alias("code"), X.compact_usd(F.col("v")).alias("usd"))
+
+
 # ---------------------------------------------------------------- files and tables, written and read again
 
 

@@ -133,6 +133,37 @@ def queue_priority(score: Column, state: Column) -> Column:
     return first_of([("UNKNOWN", score.isNull()), ("HIGH", (score >= 85) & (state == "PENDING_REVIEW")), ("HIGH_IN_PROGRESS", (score >= 85) & (state == "IN_PROGRESS")), ("MEDIUM", score >= 70)], "NORMAL")
 
 
+def decision_status(research: Column, manual: Column) -> Column:
+    """C23, the comparison's rules: reviewed only if both columns say so."""
+    r, m = F.upper(F.coalesce(research, F.lit(""))), F.upper(F.coalesce(manual, F.lit("")))
+    both = r.isin("APPROVED", "REVIEWED") & m.isin("DONE", "REVIEWED", "APPROVED")
+    return first_of([("REVIEWED", both), ("IN_PROGRESS", (r == "IN_PROGRESS") | (m == "IN_PROGRESS")), ("REJECTED", r.isin("REJECTED", "DISCARDED"))], "PENDING_REVIEW")
+
+
+def priority_flag(score: Column, state: Column) -> Column:
+    """C23, the comparison's rules."""
+    waits = state == "PENDING_REVIEW"
+    return first_of([("UNKNOWN_SCORE", score.isNull()), ("HIGH_SCORE_PENDING_REVIEW", (score >= 85) & waits), ("MEDIUM_SCORE_PENDING_REVIEW", (score >= 70) & waits), ("REVIEWED", state == "REVIEWED")], "WATCH")
+
+
+def flat_records(df: DataFrame, record: str, sizes: dict[str, str], keep: list[str]) -> DataFrame:
+    """P20: ``keep``, the fields of the struct ``record`` at every depth as columns, and the sizes (0 if null) of the lists that ``sizes`` names by alias."""
+    counts = [F.when(F.col(path).isNotNull(), F.size(path)).otherwise(0).alias(alias) for alias, path in sizes.items()]
+    return X.flattened(df.select(*keep, record, *counts))
+
+
+def stage_decisions(stages: dict[str, DataFrame], key: str, *columns: str) -> DataFrame:
+    """The rows of several stage outputs with the decision that each output stands for."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [d.select(key, *columns, F.lit(name).alias("decision")) for name, d in stages.items()])
+
+
+def keys_not_in(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """The distinct keys of ``a`` that ``b`` has not; null keys equal each other."""
+    return a.select(*keys).subtract(b.select(*keys))
+
+
 def display(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     """The named columns under their labels; those that are not there are left out."""
     return df.select(*[F.col(c).alias(t) for c, t in labels.items() if c in df.columns])

@@ -71,10 +71,19 @@ def stage1_status(spark: SparkSession, d: str) -> DataFrame:
     return _stage1(spark, d).select("k", "stage1_status", "stage1_primary_reason", "stage1_all_reasons")
 
 
-@query(f"select k, stage1_status as status, unnest(string_split(stage1_all_reasons, '|')) as reason_code from {_S1} s where stage1_all_reasons <> ''")
+_S1_TEXTS = {  # as the rules word them
+    "MISSING_TICKER": "Ticker missing.", "INACTIVE_SECURITY": "Security is not active.", "NOT_COMMON_STOCK": "Asset type is not allowed for Stage 1.", "OTC_NOT_ALLOWED": "OTC/Pink Sheet security excluded in Stage 1.",
+    "MISSING_EXCHANGE": "Exchange missing.", "EXCHANGE_NOT_IN_ALLOWED_LIST": "Exchange is not in the default allowed list.", "MISSING_MARKET_CAP": "Market cap missing.", "MARKET_CAP_BELOW_MINIMUM": "Market cap below Stage 1 minimum.",
+    "MARKET_CAP_WATCHLIST_RANGE": "Market cap is below pass threshold but above rejection threshold.", "MISSING_PRICE": "Price missing.", "PRICE_BELOW_MINIMUM": "Price below Stage 1 minimum.",
+    "PRICE_STRONG_WATCHLIST_RANGE": "Price is below pass threshold but above rejection threshold.", "PRICE_WEAK_WATCHLIST_RANGE": "Price is below weak warning threshold but does not trigger watchlist by itself.",
+    "MISSING_DOLLAR_VOLUME": "Dollar volume cannot be calculated.", "LOW_DOLLAR_VOLUME": "Dollar volume below Stage 1 minimum.", "DOLLAR_VOLUME_WATCHLIST_RANGE": "Dollar volume is below pass threshold but above rejection threshold.",
+}
+
+
+@query(f"select k, status, reason_code, {case(*[(f"reason_code = '{c}'", f"'{t}'") for c, t in _S1_TEXTS.items()])} as reason_text from (select k, stage1_status as status, unnest(string_split(stage1_all_reasons, '|')) as reason_code from {_S1} s where stage1_all_reasons <> '') x")
 def stage1_reason_log(spark: SparkSession, d: str) -> DataFrame:
-    """The rejection log: a row for each reason."""
-    return reason_log(_stage1(spark, d), "stage1", ["k"]).select("k", "status", "reason_code")
+    """The rejection log: a row for each reason, with its text."""
+    return reason_log(_stage1(spark, d), "stage1", ["k"]).select("k", "status", "reason_code", "reason_text")
 
 
 @query(f"select reason_code, count(*) as count from (select unnest(string_split(stage1_all_reasons, '|')) as reason_code from {_S1} s where stage1_all_reasons <> '') x group by 1 order by 2 desc, 1 limit 20")

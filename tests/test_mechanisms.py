@@ -128,3 +128,21 @@ def test_listing_issues(spark, scope, kind, sure, n):
     found = issues(memo.listing_issues(df))
     assert len(found) == 2 * n + 1 and ("ERROR", None, "T", "exchange+ticker", "DUPLICATE_KEY x 2") in found
     assert issues(memo.listing_issues(df.where("input_ordinal = 1").withColumn("country", df["country"].substr(9, 1)))) >= {("ERROR", 1, "T", "country", "EMPTY_COUNTRY")}
+
+
+def test_orders_with_ties_and_nulls(spark):
+    """T4 sorts the ticker downwards too, T6 puts rows without a rank last and those without a score behind others."""
+    rows = spark.createDataFrame([("A", 5.0, 1.0), ("B", 5.0, 1.0), ("C", 5.0, 2.0), ("D", 9.0, 0.0)], "ticker string, combined_score_v1 double, fundamentals_granular_score double")
+    assert [r["ticker"] for r in scoring.by_combined(rows).collect()] == ["D", "C", "B", "A"]
+    ranks = spark.createDataFrame([("A", None, 5.0), ("B", 2, None), ("C", 2, 1.0), ("D", None, 9.0), ("E", 1, 0.0)], "ticker string, ranking_position int, score double")
+    assert [r["ticker"] for r in queries.views.by_rank(ranks).collect()] == ["E", "C", "B", "D", "A"]
+
+
+def test_every_rule_has_a_text(spark):
+    from equiscreen.functions.reason_texts import REASON_TEXTS
+    from equiscreen.operators import stages
+
+    rules = [*stages.stage1_rules(), *stages.stage2_rules()]
+    assert all(r.code in REASON_TEXTS for r in rules)
+    log = queries.reason_log(queries._stage3(spark, DATA), "stage3", ["k"])
+    assert log.count() and log.where("reason_text = ''").count() == 0
