@@ -84,8 +84,13 @@ def classified(df: DataFrame, rules: list[Rule], stage: str) -> DataFrame:
 
 
 def reason_log(df: DataFrame, stage: str, keep: list[str]) -> DataFrame:
-    """A row for each reason of each row: the rejection log."""
-    return df.select(*keep, F.lit(stage).alias("stage"), F.col(f"{stage}_status").alias("status"), F.explode(f"{stage}_reasons").alias("reason")).select(
+    """A row for each reason of each row: the rejection log.
+
+    Rows without reasons are dropped after the explosion: before it, the optimizer would ask for the list's size by a copy of all
+    rules below every projection.
+    """
+    rows = df.select(*keep, F.lit(stage).alias("stage"), F.col(f"{stage}_status").alias("status"), F.explode_outer(f"{stage}_reasons").alias("reason")).where("reason is not null")
+    return rows.select(
         *keep, "stage", "status", F.col("reason.code").alias("reason_code"), F.col("reason.text").alias("reason_text"), F.col("reason.metric").alias("metric_name"),
         F.col("reason.value").alias("metric_value"), F.col("reason.threshold").alias("threshold"), F.col("reason.severity").alias("severity"), F.col("reason.recoverable").alias("recoverable"),
     )

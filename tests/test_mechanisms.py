@@ -145,4 +145,5 @@ def test_every_rule_has_a_text(spark):
     rules = [*stages.stage1_rules(), *stages.stage2_rules()]
     assert all(r.code in REASON_TEXTS for r in rules)
     log = queries.reason_log(queries._stage3(spark, DATA), "stage3", ["k"])
-    assert log.count() and log.where("reason_text = ''").count() == 0
+    texts = [r["reason_text"] for r in log.select("reason_text").collect()]
+    assert texts and all(texts) and len(log._jdf.queryExecution().optimizedPlan().toString()) < 200_000  # rules stand in the plan once
