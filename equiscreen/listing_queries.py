@@ -439,7 +439,7 @@ def upserted_table(spark: SparkSession, d: str) -> DataFrame:
     read = lambda sql: B.frame(spark, d, sql)
     versions.commit(read("select s_suppkey as k, 'old' as v, 'old' as created from {supplier}"), path)
     versions.upsert(read("select s_suppkey + d * 1000000 as k, 'new' as v, 'new' as created from {supplier} cross join (select 0 as d union all select 1) x where s_acctbal > 5000"), path, ["k"], "created")
-    versions.update(spark, path, F.col("k") > 1_000_000, v="closed")
+    versions.update(spark, path, F.col("k") >= 1_000_000, v="closed")
     return versions.current(spark, path).select(F.col("k").cast("long").alias("k"), "v", "created")
 
 
