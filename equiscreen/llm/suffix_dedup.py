@@ -10,6 +10,8 @@ consecutive and lie in one string, its context.
 
 1. One map over the texts gives (anchor hash, context hash, place) of every context: about a row for each
    100 to 200 bytes.  Equal contexts are counted; all windows of a context that occurs twice are repeated.
+   Those that one text has several times (in CHUNK bytes) are known in the map: they are one row with a count, and
+   their bytes go out as few runs, so a line that fills whole texts costs no row for each occurrence.
    The counts are aggregated before they are shuffled, so a third of all rows may be copies of one text.
 2. Anchors with several different contexts are left: edges of repeated passages and near copies.  Their
    contexts, one of each, are dealt by anchor and suffix sorted in blocks of bounded size: suffixes smaller
@@ -25,6 +27,7 @@ ignored by ``report`` and kept by ``clean``.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,12 +76,12 @@ class Anchors:
             self.n = max(n, 2 * self.n)
             self.power, self.inverse = _powers(self.BASE, self.n), _powers(pow(self.BASE, -1, 1 << 64), self.n)
 
-    def of(self, raw: bytes) -> Iterator[tuple[int, int, int]]:
-        """(anchor hash, first window, last window) of each context."""
+    def of(self, raw: bytes) -> Iterator[tuple[list[int], list[int], list[int]]]:
+        """Anchor hashes, first windows and last windows of the contexts, CHUNK bytes of the text at a time."""
         for at in range(0, max(len(raw) - self.span + 1, 0), CHUNK):
             part = np.frombuffer(raw, np.uint8)[at : at + CHUNK + self.span - 1]
             h, lo, hi = self._chunk(part)
-            yield from zip(h.view(np.int64).tolist(), (lo + at).tolist(), (hi + at).tolist(), strict=True)
+            yield h.view(np.int64).tolist(), (lo + at).tolist(), (hi + at).tolist()
 
     def _chunk(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, k, w = len(part), self.k, self.span - self.k + 1
@@ -185,6 +188,20 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def once_each(anchor: list[int], context: list[int], begin: list[int], end: list[int]) -> tuple[list[list[int]], list[tuple[int, int]] | None]:
+    """The contexts of one text, in order.  Gives their columns anchor, context, begin, end, times with one row for equal ones,
+    and the runs [begin, end) of bytes under contexts that are there twice or more; None for none."""
+    if len(set(context)) == len(context):
+        return [anchor, context, begin, end, [1] * len(context)], None
+    times, first = Counter(zip(anchor, context, strict=True)), {}
+    runs: list[tuple[int, int]] = []
+    for h, c, a, b in zip(anchor, context, begin, end, strict=True):
+        first.setdefault((h, c), (h, c, a, b, times[h, c]))
+        if times[h, c] > 1:
+            runs[-1:] = [(runs[-1][0], b)] if runs and runs[-1][1] >= a else [*runs[-1:], (a, b)]
+    return [list(x) for x in zip(*first.values(), strict=True)], runs or None
+
+
 def _spans_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [[], [], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["did", "th", "a", "b"])
@@ -198,26 +215,32 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, k: int = K, max_group: in
     """``texts``: did, th, raw (an id, a hash of the bytes, the bytes).  Gives did, th, spans: the maximal runs
     [a, b) of bytes to remove, for the texts that have any."""
 
+    fields = {n: pa.int64() for n in ("did", "th", "anchor", "context", "lo", "hi", "times")} | {"runs": RUNS}
+
     @tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Anchors(span, k)
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                cols: list[list[int]] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in fields]
                 for did, th, raw in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), b.column("raw").to_pylist(), strict=True):
                     for h, lo, hi in find.of(raw):
-                        c = xxhash.xxh3_64_intdigest(raw[lo : hi + span])
-                        for col, x in zip(cols, (did, th, h, c - (1 << 63), lo, hi), strict=True):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["did", "th", "anchor", "context", "lo", "hi"])
+                        end = [x + span for x in hi]
+                        mine, runs = once_each(h, [xxhash.xxh3_64_intdigest(raw[a:z]) - (1 << 63) for a, z in zip(lo, end, strict=True)], lo, end)
+                        n = len(mine[0])
+                        for col, x in zip(cols, ([did] * n, [th] * n, *mine, [runs, *[None] * (n - 1)]), strict=True):
+                            col += x
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, fields.values(), strict=True)], names=list(fields))
 
     small_batches(texts.sparkSession)
     long = texts.where(F.octet_length("raw") >= span)
-    found = materialise(long.mapInArrow(scan, "did long, th long, anchor long, context long, lo long, hi long"), "anchors")
-    kinds = materialise(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("did", "th", "lo", "hi")).alias("one")), "contexts")
-    twice = kinds.where("n > 1").select("anchor", "context")
-    whole = found.join(_small(twice), ["anchor", "context"], "left_semi").select("did", "th", F.col("lo").alias("a"), (F.col("hi") + span).alias("b"))
+    found = materialise(long.mapInArrow(scan, "did long, th long, anchor long, context long, lo long, hi long, times long, runs array<struct<a:bigint,b:bigint>>"), "anchors")
+    counts = F.sum("times").alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("did", "th", "lo", "hi")).alias("one")
+    kinds = materialise(found.groupBy("anchor", "context").agg(*counts), "contexts")
+    shared = kinds.where("`rows` > 1").select("anchor", "context")
+    whole = found.where("times = 1").join(_small(shared), ["anchor", "context"], "left_semi").select("did", "th", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    own = found.where("runs is not null").select("did", "th", F.inline("runs"))
     many = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("group")).where("`group` > 1")
     left = materialise(kinds.join(_small(many), "anchor").select("anchor", "group", "n", "one.*"), "contexts-to-sort")
     by_text = left.groupBy("did", "th").agg(F.collect_list(F.struct("anchor", "group", "n", "lo", "hi")).alias("of"))
@@ -228,7 +251,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, k: int = K, max_group: in
         for b in batches:
             rows = []
             for did, th, raw, of in zip(*(b.column(c).to_pylist() for c in ("did", "th", "raw", "of")), strict=True):
-                rows += [{"anchor": x["anchor"], "group": x["group"], "n": x["n"], "did": did, "th": th, "lo": x["lo"], "bytes": raw[x["lo"] : x["hi"] + span]} for x in of]
+                rows += [{"anchor": x["anchor"], "group": x["group"], "n": x["n"], "did": did, "th": th, "lo": x["lo"], "bytes": raw[x["lo"] : x["hi"]]} for x in of]
                 if len(rows) > 2000:
                     yield pa.RecordBatch.from_pylist(rows, schema=CUT)
                     rows = []
@@ -266,12 +289,13 @@ def repeated_spans(texts: DataFrame, span: int = SPAN, k: int = K, max_group: in
 
     spans = "did long, th long, a long, b long"
     sorted_ = contexts.where(F.col("group") <= max_group).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, spans)
-    out = whole.unionByName(sorted_)
+    out = whole.unionByName(own).unionByName(sorted_)
     if hot:
         out = out.unionByName(_hashed(contexts.where(F.col("group") > max_group), span))
     return out.groupBy("did", "th").agg(merged_spans(F.collect_set(F.struct("a", "b"))).alias("spans"))
 
 
+RUNS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 CUT = pa.schema([("anchor", pa.int64()), ("group", pa.int64()), ("n", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("bytes", pa.binary())])
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from equiscreen.llm import decontaminate, grouping_packing, jaccard_join, mil_toxicity, pu_quality, ring_sharding, suffix_dedup, tiff_media, trie_tokens, xent_scoring
+from equiscreen.llm.common import materialise
 
 P = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, span string"
@@ -217,6 +218,47 @@ def test_suffix_dedup(docs, pairs, max_group):
     assert Counter(tuple(r) for r in suffix_dedup.report(docs, max_group=max_group).collect()) == want
 
 
+def test_suffix_lines_that_fill_texts_are_few_rows(spark, monkeypatch):
+    """Rows of contexts, and of those that repeat, grow with texts and not with a line's occurrences in each."""
+    line, r, span = "one very common line, all of it the same\n", random.Random(6), 248
+    own = lambda n: " ".join(str(r.randint(0, 10**9)) for _ in range(n))
+    pairs = [(i, own(30) + line * 150 + own(3) + line * 20 + own(40)) for i in range(30)] + [(90, line * 9), (91, line * 3 + own(20)), (92, line * 400), (92, line * 400), (93, own(60)), (94, None)]
+    rows = {}
+
+    def kept(df, name):
+        rows[name] = (out := materialise(df, name)).count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialise", kept)
+    out = suffix_dedup.repeated_spans(suffix_dedup._texts(spark.createDataFrame(pairs, "doc_id long, text string")).select("did", "th", "raw"), span, 96)
+    got = {(x["did"], a, b) for x in out.collect() for a, b in x["spans"]}
+    count = Counter(b[i : i + span] for _, t in pairs if (b := (t or "").encode()) for i in range(len(b) - span + 1))
+    want = set()
+    for d, t in pairs:
+        b, gone = (t or "").encode(), np.zeros(len(t or ""), bool)
+        for i in range(len(b) - span + 1):
+            if count[b[i : i + span]] > 1:
+                gone[i : i + span] = True
+        want |= {(d, x, y) for x, y in suffix_dedup._runs(gone)}
+    assert got == want
+    assert rows["anchors"] < 25 * len(pairs)  # 170 lines a text had more than 150
+
+
+@pytest.mark.parametrize("chunk", [300, 1 << 20])
+def test_suffix_contexts_once_each(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    raw = b"abc" * 500 + random.Random(7).randbytes(900) + b"abc" * 300
+    for anchors, first, last in suffix_dedup.Anchors(248, 96).of(raw):
+        found = [(h, hash(raw[lo : hi + 248]), lo, hi + 248) for h, lo, hi in zip(anchors, first, last, strict=True)]
+        columns, runs = suffix_dedup.once_each(*map(list, zip(*found, strict=True)))
+        once = list(zip(*columns, strict=True))
+        times, covered = Counter(x[:2] for x in found), set()
+        for x in found:
+            covered |= set(range(x[2], x[3])) if times[x[:2]] > 1 else set()
+        assert {x[:2]: x[4] for x in once} == times and len(once) == len(times)
+        assert covered == {i for a, b in runs or [] for i in range(a, b)} and (runs is None) == (not covered)
+
+
 def test_suffix_clean_keeps_rows_and_columns(docs, pairs):
     out = suffix_dedup.clean(docs)
     assert out.columns == docs.columns and out.count() == len(pairs)
