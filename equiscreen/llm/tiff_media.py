@@ -80,74 +80,76 @@ def pack_bits(data: bytes) -> bytes:
 
 
 CLEAR, END = 256, 257
+#: Bits of each code after CLEAR, up to the CLEAR that the writer gives when its table is full.
+WIDTHS = np.repeat([9, 10, 11, 12], [254, 512, 1024, 2048])
+#: Codes that are taken from the bits at once.
+CODES = 512
 
 
 def lzw_decode(data: bytes, need: int | None = None) -> bytes:
     """What ``data`` unpacks to; little more than ``need`` bytes of it, if that is given, whatever the codes say."""
     base = [bytes([i]) for i in range(256)] + [b"", b""]
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int32)
+    three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
     table, out = list(base), []
-    made = met = 0  # bytes of the first words
-    buffer = held = 0
+    made = at = 0  # bytes of the words, bits that are read
     width, last = 9, b""
-    for at, byte in enumerate(data):
-        if not at & 1023 and need is not None:
-            made, met = made + sum(map(len, out[met:])), len(out)
-            if made >= need:
+    while need is None or made < need:
+        grows = (1 << width) - 1 - len(table) + (not last) if width < 12 else CODES  # codes grow one early
+        place = at + width * np.arange(min(CODES, grows, (8 * len(data) - at) // width))
+        if not len(place):
+            break
+        codes = three[place >> 3] >> (24 - width - (place & 7)) & ((1 << width) - 1)
+        ends = np.flatnonzero((codes == CLEAR) | (codes == END))
+        some = codes[: ends[0]].tolist() if len(ends) else codes.tolist()
+        at += width * (len(some) + (len(ends) > 0))
+        met, size = len(out), len(table)
+        for code in some:
+            if code < size:
+                word = table[code]
+            elif code == size and last:
+                word = last + last[:1]
+            else:
+                raise ValueError(f"LZW code {code} of {size}")
+            if last:
+                table.append(last + word[:1])
+                size += 1
+            out.append(word)
+            last = word
+        made += sum(map(len, out[met:])) if need is not None else 0
+        if len(ends):
+            if codes[ends[0]] == END:
                 break
-        buffer, held = (buffer << 8) | byte, held + 8
-        if held < width:
-            continue
-        held -= width
-        code = buffer >> held
-        buffer &= (1 << held) - 1
-        if code == CLEAR:
             table, width, last = list(base), 9, b""
-            continue
-        if code == END:
-            break
-        if code >= len(table) + bool(last):
-            raise ValueError(f"LZW code {code} of {len(table)}")
-        if not last:
-            word = table[code]
-        else:
-            word = table[code] if code < len(table) else last + last[:1]
-            table.append(last + word[:1])
-            if len(table) >= (1 << width) - 1 and width < 12:  # codes grow one early
-                width += 1
-        out.append(word)
-        last = word
+        elif width < 12 and size >= (1 << width) - 1:
+            width += 1
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes, widths = [CLEAR], [9]
-    table: dict[bytes, int] = {bytes([i]): i for i in range(256)}
-    size, width, word = 258, 9, b""
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
+    codes, table, size = [CLEAR], {}, 258
+    put, find = codes.append, table.get
+    word = data[0] if data else -1  # a word's code; the table has the code of a word and one more byte
+    for byte in data[1:]:
+        pair = word << 8 | byte
+        longer = find(pair)
+        if longer is not None:
             word = longer
             continue
-        codes.append(table[word])
-        widths.append(width)
-        table[longer] = size
+        put(word)
+        table[pair] = size
         size += 1
-        if size >= 1 << width and width < 12:
-            width += 1
-        elif size == 4095:
-            codes.append(CLEAR)
-            widths.append(width)
-            table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
-        word = data[i : i + 1]
-    if word:
-        codes.append(table[word])
-        widths.append(width)
-        if size + 1 >= 1 << width and width < 12:
-            width += 1
-    codes.append(END)
-    widths.append(width)
+        if size == 4095:
+            put(CLEAR)
+            table.clear()
+            size = 258
+        word = byte
+    if data:
+        put(word)
+    put(END)
+    widths = np.concatenate([[9], np.resize(WIDTHS, len(codes) - 1)])
     bits = np.unpackbits(np.array(codes, ">u2").view(np.uint8).reshape(-1, 2), axis=1)
-    return np.packbits(bits[np.arange(16) >= 16 - np.array(widths)[:, None]]).tobytes()
+    return np.packbits(bits[np.arange(16) >= 16 - widths[:, None]]).tobytes()
 
 
 def _unpacked(data: bytes, compression: int, size: int) -> bytes:
@@ -244,7 +246,8 @@ def write_pages(pages: list[tuple[np.ndarray, int, int, bool]]) -> bytes:
             for x in range(0, width, w):
                 block = pixels[y : y + h, x : x + w]
                 if tiled and block.shape != (h, w):
-                    block = np.pad(block, ((0, h - block.shape[0]), (0, w - block.shape[1])))
+                    part, block = block, np.zeros((h, w), np.uint8)
+                    block[: part.shape[0], : part.shape[1]] = part
                 if predictor == 2:
                     block = np.diff(block, axis=1, prepend=np.zeros((len(block), 1), np.uint8))
                 data = _packed(block.astype(np.uint8).tobytes(), compression)
