@@ -29,6 +29,8 @@ rarest members without being similar.
 All links are verified on the words themselves.  Components are found by contraction, in tables.
 
 Scale: signatures travel as arrays, one row for each batch of documents and bucket of the signature space.
+Tables of signatures are joined by shuffles, as hints say: their files pack them to two or three bytes a row, which Spark
+takes for the rows' size, and it would broadcast millions of them through the driver.
 Only signatures that two classes share are kept.  Texts are fetched only for classes that are verified.
 
 Defined results: null and wordless texts have no shingles and are linked with nothing; texts of fewer than five
@@ -258,7 +260,7 @@ def _index(docs: DataFrame, level: int, seed: int = 0) -> tuple[DataFrame, DataF
             yield shared(*map(np.concatenate, zip(*held, strict=True)))
 
     rows = docs.select("did", "th", "text").mapInArrow(emit, "p long, sigs array<bigint>, cls array<bigint>, bitmap binary").repartition("p").sortWithinPartitions("p")
-    found = materialise(rows.mapInArrow(meet, "sig long, k long, pivot long, cls long, info array<bigint>, bitmap binary"), f"signatures-{level}")
+    found = materialise(rows.mapInArrow(meet, "sig long, k long, pivot long, cls long, info array<bigint>, bitmap binary"), f"signatures-{level}").hint("merge")
     passed = found.where("sig is null")
     named = lambda *names: [F.col("info")[i].alias(c) for i, c in enumerate(names)]
     rows_of = passed.where(F.size("info") == 5).select(*named("did", "th", "n", "again"), "cls", "bitmap")
@@ -460,8 +462,8 @@ def _stars(docs: DataFrame, classes: DataFrame, labels: DataFrame, rows: DataFra
     """Labels after each class was compared with one central class: of those that share its signatures, the ones that
     share most with all others come first, as the text that copies were made from does."""
     central = rows.groupBy("cls").agg(F.sum("k").alias("weight"))
-    known = rows.select("sig", "cls").join(central, "cls").join(labels, "cls", "left").select("sig", "cls", "weight", F.coalesce("label", "cls").alias("label"))
-    known = materialise(known, "weighed")
+    known = rows.select("sig", "cls").hint("merge").join(central, "cls").join(labels, "cls", "left").select("sig", "cls", "weight", F.coalesce("label", "cls").alias("label"))
+    known = materialise(known, "weighed").hint("merge")
     hubs = known.groupBy("sig").agg(F.max(F.struct("weight", "cls", "label")).alias("hub")).select("sig", F.col("hub.cls").alias("pivot"), F.col("hub.label").alias("at"), F.col("hub.weight").alias("w"))
     star = known.join(hubs, "sig").where("label <> `at`").groupBy("cls", "pivot").agg(F.count(F.lit(1)).alias("v"), F.first("w").alias("w"))
     best = star.groupBy("cls").agg(F.max_by("pivot", F.struct("v", "w", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))

@@ -636,3 +636,12 @@ def test_jaccard_large_groups_are_split(docs, pairs, monkeypatch):
     sets, component = brute_components(pairs)
     want = Counter((d, len(s), c if s else d) for (d, _), s, c in zip(pairs, sets, component, strict=True))
     assert Counter(tuple(r) for r in jaccard_join.report(docs, 1).collect()) == want
+
+
+def test_jaccard_signatures_are_not_broadcast(spark):
+    """Packed files understate the signatures; the joins with them are shuffled, whatever Spark takes their size for."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(90 + i % 2))) for i in range(40)], "did long, text string").selectExpr("did", "xxhash64(text) as th", "text")
+    shared, info, _ = jaccard_join._index(docs, 0)
+    rows = jaccard_join._prefixes(shared, info)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() and plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
