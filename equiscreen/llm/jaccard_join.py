@@ -58,6 +58,8 @@ WORDS = 5
 FREQUENT = 50
 #: Classes of a group that one task compares with the others.
 CHUNK = 2048
+#: Edges that one task walks to their end; more are contracted in rounds until no more are left.
+WALKED = 10_000
 #: Similarity of 100 * common >= LEAST * union, and with it H = (s + t) // PER.
 LEAST, PER = 75, 7
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -407,24 +409,48 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return materialise(both.mapInArrow(run, "a long, b long"), "links")
 
 
+def _walked(edges: DataFrame) -> DataFrame:
+    """(cls, to) for the ends of ``edges``, at most ``WALKED``: to is the least end of their component."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = sorted((top(a), top(b)))
+                up[b] = a
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], names=["cls", "to"])
+
+    return edges.coalesce(1).mapInArrow(run, "cls long, to long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """cls, label for every end of an edge (a, b); the label is one of the component's ends.
 
-    Every node moves to its least neighbour or stays; edges move along, until none is left between different nodes.
+    Every node moves to its least neighbour or stays; edges move along, until so few are left between different nodes
+    that one task walks them.  Rounds cost jobs, and jobs cost the driver memory, whatever their size.
     """
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     labels: DataFrame | None = None
     while True:
         edges = materialise(edges, "edges")
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
             break
         ends = edges.select(F.col("a").alias("cls"), F.col("b").alias("to")).union(edges.select("b", "a"))
-        move = materialise(ends.groupBy("cls").agg(F.least(F.min("to"), F.min("cls")).alias("to")), "moves")
+        move = materialise(_walked(edges) if n <= WALKED else ends.groupBy("cls").agg(F.least(F.min("to"), F.min("cls")).alias("to")), "moves")
         if labels is None:
             labels = move.withColumnRenamed("to", "label")
         else:
-            labels = labels.join(move.select(F.col("cls").alias("label"), "to"), "label", "left").select("cls", F.coalesce("to", "label").alias("label"))
-        labels = materialise(labels, "labels")
+            labels = materialise(labels.join(move.select(F.col("cls").alias("label"), "to"), "label", "left").select("cls", F.coalesce("to", "label").alias("label")), "labels")
+        if n <= WALKED:
+            break
         a, b = move.select(F.col("cls").alias("a"), F.col("to").alias("x")), move.select(F.col("cls").alias("b"), F.col("to").alias("y"))
         edges = edges.join(a, "a").join(b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return labels if labels is not None else edges.select(F.col("a").alias("cls"), F.col("b").alias("label"))

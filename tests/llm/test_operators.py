@@ -638,6 +638,22 @@ def test_jaccard_large_groups_are_split(docs, pairs, monkeypatch):
     assert Counter(tuple(r) for r in jaccard_join.report(docs, 1).collect()) == want
 
 
+@pytest.mark.parametrize("walked", [10_000, 2])
+def test_components_end_in_one_task(spark, monkeypatch, walked):
+    """Few edges take two tables, whatever their chains' lengths; more are contracted in rounds, with the same result."""
+    monkeypatch.setattr(jaccard_join, "WALKED", walked)
+    written, write = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, name: written.append(name) or write(df, name))
+    rng = random.Random(5)
+    ids = rng.sample(range(-(10**12), 10**12), 200)
+    edges = [(ids[i], ids[i + 1]) for i in range(199) if i not in (40, 41, 120)] + [(ids[3], ids[17]), (ids[50], ids[50]), (ids[5], ids[4])]
+    found = {r["cls"]: r["label"] for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    parts = [ids[:41], ids[42:121], ids[121:]]
+    assert set(found) == {x for p in parts for x in p}
+    assert all(len({found[x] for x in p}) == 1 and found[p[0]] in p for p in parts) and len(set(found.values())) == 3
+    assert written == ["edges", "moves"] if walked > 2 else len(written) > 3
+
+
 def test_jaccard_signatures_are_not_broadcast(spark):
     """Packed files understate the signatures; the joins with them are shuffled, whatever Spark takes their size for."""
     docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(90 + i % 2))) for i in range(40)], "did long, text string").selectExpr("did", "xxhash64(text) as th", "text")
