@@ -38,3 +38,11 @@ def test_query(spark, duck, name):
     ours, theirs = queries.QUERIES[name](spark, DATA).toPandas(), duck.execute(queries.SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
+
+
+def test_formatted_beyond_a_trillion(spark, tmp_path):
+    """The SQL says billions at most; keys of larger tables reach a trillion."""
+    con = duckdb.connect()
+    con.execute(f"copy (select k as c_custkey, k % 7 as c_nationkey from (values (31), (32), (990), (31249), (31250), (31251), (900000), (1500000)) t(k)) to '{tmp_path}/customer.parquet'")
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet'")
+    assert rows(queries.QUERIES["formatted"](spark, str(tmp_path)).toPandas()) == rows(con.execute(queries.SQL["formatted"]).df())
