@@ -163,14 +163,24 @@ def stage3(df: DataFrame, policy: Stage3Policy = STAGE3) -> DataFrame:
     return classified(df, rules, "stage3").withColumn("stage3_category", category)
 
 
+def _best(df: DataFrame, wanted: Column, n: int, key: str) -> DataFrame:
+    """The ``n`` rows of the best final score that are ``wanted``; ``key`` breaks ties.
+
+    What is not wanted is ordered last and dropped after the limit: a condition before it would go down through all projections
+    and take a copy of the whole cascade for each column that it names.
+    """
+    rows = df.withColumn("__wanted", F.coalesce(wanted, F.lit(False)))
+    return rows.orderBy(F.desc("__wanted"), F.desc("final_stage3_score"), key).limit(n).where("__wanted").drop("__wanted")
+
+
 def top_candidates(df: DataFrame, n: int, key: str = "ticker") -> DataFrame:
     """The best of passed and watched; ``key`` breaks ties."""
-    return df.where(F.col("stage3_status").isin("PASSED", WATCH)).orderBy(F.desc("final_stage3_score"), key).limit(n)
+    return _best(df, F.col("stage3_status").isin("PASSED", WATCH), n, key)
 
 
 def top_recoverable(df: DataFrame, n: int = 100, key: str = "ticker") -> DataFrame:
     """T3."""
-    return df.where(F.col("stage3_status").isin(WATCH, REJECT) & (F.col("stage3_primary_reason") != "")).orderBy(F.desc("final_stage3_score"), key).limit(n)
+    return _best(df, F.col("stage3_status").isin(WATCH, REJECT) & (F.col("stage3_primary_reason") != ""), n, key)
 
 
 def stage_summary(df: DataFrame, stage: str) -> DataFrame:

@@ -46,3 +46,20 @@ def test_formatted_beyond_a_trillion(spark, tmp_path):
     con.execute(f"copy (select k as c_custkey, k % 7 as c_nationkey from (values (31), (32), (990), (31249), (31250), (31251), (900000), (1500000)) t(k)) to '{tmp_path}/customer.parquet'")
     con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet'")
     assert rows(queries.QUERIES["formatted"](spark, str(tmp_path)).toPandas()) == rows(con.execute(queries.SQL["formatted"]).df())
+
+
+@pytest.mark.parametrize("name", ["stage3_topn", "stage3_recoverable"])
+def test_best_rows_do_not_copy_the_cascade(spark, name):
+    """Conditions on the cascade's results are not pushed below it as copies of its rules (1.3 million characters once)."""
+    plan = queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
+
+
+def test_fewer_recoverable_rows_than_asked_for(spark):
+    from equiscreen.operators import stages
+
+    made = [("A", 50.0, "WATCHLIST", "X"), ("B", 99.0, "PASSED", ""), ("C", 50.0, "REJECTED", "Y"), ("D", None, "REJECTED", "Y"), ("E", 60.0, None, "Y"), ("F", 61.0, "WATCHLIST", None), ("G", 40.0, "PASSED", "")]
+    df = spark.createDataFrame(made, "ticker string, final_stage3_score double, stage3_status string, stage3_primary_reason string")
+    assert [r["ticker"] for r in stages.top_recoverable(df).collect()] == ["A", "C", "D"] and [r["ticker"] for r in stages.top_recoverable(df, 1).collect()] == ["A"]
+    found = stages.top_candidates(df, 9)
+    assert [r["ticker"] for r in found.collect()] == ["B", "F", "A", "G"] and found.columns == df.columns
